@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,6 +54,22 @@ def text_key(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c))
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, name: str, few_groups: bool = False) -> DataFrame:
+    """df with `out`, the place of a row in its group, gapless from 0, after one range exchange by group and order.
+
+    A group may fill many partitions: the place is the group's rows in partitions before plus the place in its own.
+    The order must tell rows apart as far as it matters. few_groups: their number is bounded, so the counts (one row
+    per group and partition) are broadcast.
+    """
+    placed = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    placed = store(placed.withColumns({"part_": F.spark_partition_id(), "at_": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), name)
+    runs = placed.groupBy(*group, "part_").agg(F.min("at_").alias("first_"), F.count("*").alias("n_"))
+    earlier = Window.partitionBy(*group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("before_", F.coalesce(F.sum("n_").over(earlier), F.lit(0))).drop("n_")
+    joined = placed.join(F.broadcast(runs) if few_groups else runs, [*group, "part_"])
+    return joined.withColumn(out, F.col("before_") + F.col("at_") - F.col("first_")).drop("part_", "at_", "first_", "before_")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of edges(a long, b long); component is the smallest node reachable.
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, store
+from .common import load, numbered, store
 
 CURVES, DIMS, LEVELS = 16, 10, 3
 #: Rows of a curve that one task scores at once, and queries that meet them at most.
@@ -103,16 +103,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
             for c in range(curves):
                 yield pd.DataFrame({"curve": np.int32(c), "key": curve_keys(unit, c, scale), "rep": pdf["rep"].to_numpy()})
 
-    order = ["curve", "key", "rep"]
     ordered = members.select("rep", "v").mapInPandas(keyed, "curve int, key long, rep long")
-    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = store(ordered.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "curves")
-    runs = ordered.groupBy("curve", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # a row per curve and partition
-    before = F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
-    place = F.col("before") + F.col("at") - F.col("first")
-    placed = ordered.join(F.broadcast(runs), ["curve", "part"]).select("curve", "rep", F.expr(f"cast({block} as long)").alias("b"), place.alias("place"))
-    placed = placed.select("curve", "rep", F.expr("place div b").alias("block")).join(members.select("rep", "v"), "rep")
+    placed = numbered(ordered, ["curve"], ["key", "rep"], "place", "curves", few_groups=True)
+    placed = placed.select("curve", "rep", F.expr(f"place div {block}L").alias("block")).join(members.select("rep", "v"), "rep")
     reach = max(1, int(np.ceil(window * n / block)))
     last = max(0, (n - 1) // block)
     # Queries visit the blocks around their own; a block serves them in chunks of REACH blocks of queries.

@@ -8,10 +8,10 @@ much less for the ordinary rows; a group larger than a shard's share is spread b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, store
+from .common import load, numbered, store
 
 CELLS = 1024
 
@@ -96,19 +96,8 @@ def assign(docs: DataFrame, shards: int = 8, tolerance: float = 0.002) -> DataFr
 
 
 def slots(assigned: DataFrame) -> DataFrame:
-    """Rows exchanged once into the order of (shard, key), with slot, gapless from 0 in each shard.
-
-    A shard may fill many partitions: a slot is the rows of the shard in partitions before plus the place in its own.
-    """
-    order = ["shard", "key", "doc_id"]
-    placed = assigned.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = placed.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    placed = store(placed, "placed")
-    # One row per shard and partition.
-    runs = placed.groupBy("shard", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    runs = runs.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = placed.join(F.broadcast(runs.drop("n")), ["shard", "part"])
-    return out.withColumn("slot", F.col("before") + F.col("at") - F.col("first")).drop("part", "at", "first", "before")
+    """Rows exchanged once into the order of (shard, key), with slot, gapless from 0 in each shard."""
+    return numbered(assigned, ["shard"], ["key", "doc_id"], "slot", "placed", few_groups=True)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
