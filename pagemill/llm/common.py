@@ -38,6 +38,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many rows of a counted table are broadcast; beyond it the same join shuffles.
+MOST_BROADCAST = 300_000
+
+
+def sized(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A stored table, marked for broadcast if its counted rows are few."""
+    return F.broadcast(small) if small.count() <= most else small
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)

@@ -10,16 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, store, text_key, words
+from .common import load, sized, store, text_key, words
 
 WINDOW = 10
-#: Up to so many distinct test terms or anchor places are broadcast; beyond it the same joins shuffle.
-MOST_BROADCAST = 300_000
-
-
-def sized(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A stored table, marked for broadcast if its counted rows are few."""
-    return F.broadcast(small) if small.count() <= most else small
 
 
 def test_terms(benchmark: DataFrame) -> DataFrame:
@@ -50,11 +43,6 @@ def windows(terms: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
     return g.select("item_id", "start", "len", "words", *(F.col(f"{x}.{y}").alias(z) for x, y, z in (("a", "term", "ta"), ("a", "o", "oa"), ("b", "term", "tb"), ("b", "o", "ob"))))
 
 
-def _shifted(index: DataFrame, lists: DataFrame, term: str) -> DataFrame:
-    """Postings of lists(term, delta) as document and place minus delta: where an item's first word would stand."""
-    return index.join(lists.withColumnRenamed(term, "term"), "term")
-
-
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(index, found): found has (doc_id, dk, item_id, pos, len), the places of docs where a window of an item occurs."""
     terms = store(test_terms(benchmark), "terms")
@@ -70,11 +58,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         index.where("term is not null").join(x, "term").select("doc_id", "dk", "item_id", "start", "len", (F.col("pos") - F.col("at") + F.col("start")).alias("pos")).where("pos >= 0")
         for x in lists
     )
-    keys = ["item_id", "start", "len", "pos"]
-    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys] + [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in ("doc_id", "dk")]
-    both = store(first.alias("x").join(second.distinct().alias("y"), same, "left_semi").distinct(), "candidates")
+    # Only a hash of the second list's alignments is exchanged; what it lets through wrongly fails the comparison below.
+    key = F.xxhash64("doc_id", "dk", "item_id", "start", "len", "pos").alias("k")
+    both = store(first.withColumn("k", key).join(second.select(key), "k", "left_semi").drop("k").distinct(), "candidates")
     # The words of the few documents that are left.
-    some = both.select("doc_id", "dk").distinct()
+    some = sized(store(both.select("doc_id", "dk").distinct(), "candidate_documents"))
     texts = docs.select("doc_id", text_key(F.col("text")).alias("dk"), "text")
     on = [texts["doc_id"].eqNullSafe(some["doc_id"]), texts["dk"] == some["dk"]]
     near = texts.join(some, on, "left_semi").dropDuplicates(["doc_id", "dk"]).select("doc_id", "dk", words(F.col("text")).alias("w"))
@@ -129,7 +117,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 5) -> DataFrame
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without an occurrence of a benchmark window."""
     _, found = occurrences(docs, benchmark)
-    bad = store(found.select("doc_id", "dk").distinct(), "contaminated")
+    bad = sized(store(found.select("doc_id", "dk").distinct(), "contaminated"))
     keyed = docs.withColumn("dk_", text_key(F.col("text")))
     return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["dk_"] == bad["dk"]), "left_anti").drop("dk_")
 

@@ -81,7 +81,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     schema = "query_id long, rank int, vec_id long, score double"
     if length is None:
         return spark.createDataFrame([], schema)
-    good = good.where(F.size("embedding") == length["d"]).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+    good = good.where(F.size("embedding") == length["d"]).select(F.col("vec_id").cast("long"), F.col("embedding").alias("v"))
     # A row per distinct vector: its smallest k + 1 ids are all that any query can be given, and the ids of its queries.
     with_part = good.withColumn("vkey", F.xxhash64("v"))
     ids = with_part.groupBy("vkey", "v", "vec_id").count().drop("count")
@@ -98,7 +98,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            v = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, length["d"]))
+            v = np.stack(pdf["v"].to_numpy()).astype("f8") if len(pdf) else np.zeros((0, length["d"]))
             unit = v / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(v).max(axis=1, keepdims=True)
             for c in range(curves):
                 yield pd.DataFrame({"curve": np.int32(c), "key": curve_keys(unit, c, scale), "rep": pdf["rep"].to_numpy()})
@@ -121,7 +121,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
         q, x = pdf[asks], pdf[~asks]
         if not len(q) or not len(x):
             return pd.DataFrame({"query_rep": [], "rep": [], "score": []})
-        s = np.stack(q["v"].to_numpy()) @ np.stack(x["v"].to_numpy()).T
+        s = np.stack(q["v"].to_numpy()).astype("f8") @ np.stack(x["v"].to_numpy()).astype("f8").T
         take = min(k + 1, s.shape[1])
         best = np.argsort(-s, axis=1, kind="stable")[:, :take] if s.shape[1] <= take else np.argpartition(-s, take - 1, axis=1)[:, :take]
         low = s[np.arange(len(s))[:, None], best].min(axis=1)

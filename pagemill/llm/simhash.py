@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, store
+from .common import connected_components, load, sized, store
 
 BITS = 4
 SEGMENTS = BITS + 1
@@ -154,8 +154,9 @@ def components(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs of which each component keeps one: that with its smallest doc_id (of repeated ids, one)."""
     found = store(components(docs), "components")
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
+    # The copies are fewer than what stays: if their counted ids are few they are broadcast and no text is exchanged.
+    copies = sized(store(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
+    out = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
     if not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     if not (bare := found.where("component_id is null").select("fp").distinct()).isEmpty():  # components without any id
