@@ -1,4 +1,11 @@
 """All queries of the library by name, and the DuckDB SQL that checks them."""
 
+from __future__ import annotations
+
+from .operators import library, lines
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (library, lines):
+    QUERIES |= _m.Q
+    ORACLES |= _m.O
