@@ -210,6 +210,6 @@ _q("rebuild_lines", lambda s, d: assemble(split_lines(_sparse(T.words(s, d))).wi
 _q("lines_by_y", lambda s, d: lines_by_y(T.words(s, d)))
 _q("ocr_totals", lambda s, d: T.words(s, d).groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages"), F.count("*").alias("words")), "w", "SELECT doc_id, max(page_no) + 1 AS pages, count(*) AS words FROM w GROUP BY 1")
 _q("chunk_confidence", lambda s, d: T.words(s, d).groupBy("doc_id", "page_no").agg(F.avg("conf").alias("c")).groupBy("doc_id").agg(F.avg("c").alias("conf")), "w", "SELECT doc_id, avg(c) AS conf FROM (SELECT doc_id, page_no, avg(conf) AS c FROM w GROUP BY ALL) GROUP BY 1")
-_halves = [F.floor(F.col(c) / 2 + 0.5).alias(f"h{c}") for c in ("x0", "y0", "x1", "y1")]
-_q("chunk_dedup", lambda s, d: T.words(s, d).withColumn("word_no", F.explode(F.array("word_no", F.expr("word_no + 100000")))).withColumn("x0", F.expr("x0 + CASE WHEN word_no >= 100000 AND x0 % 2 = 1 THEN 1 ELSE 0 END")).groupBy("doc_id", "page_no", "text", *_halves).agg(F.min("word_no").alias("word_no")).select("doc_id", "word_no"), "w", "SELECT doc_id, min(word_no) AS word_no FROM w GROUP BY doc_id, page_no, text, (x0 + 1) // 2, (y0 + 1) // 2, (x1 + 1) // 2, (y1 + 1) // 2")
+_halves = lambda: [F.floor(F.col(c) / 2 + 0.5).alias(f"h{c}") for c in ("x0", "y0", "x1", "y1")]
+_q("chunk_dedup", lambda s, d: T.words(s, d).withColumn("word_no", F.explode(F.array("word_no", F.expr("word_no + 100000")))).withColumn("x0", F.expr("x0 + CASE WHEN word_no >= 100000 AND x0 % 2 = 1 THEN 1 ELSE 0 END")).groupBy("doc_id", "page_no", "text", *_halves()).agg(F.min("word_no").alias("word_no")).select("doc_id", "word_no"), "w", "SELECT doc_id, min(word_no) AS word_no FROM w GROUP BY doc_id, page_no, text, (x0 + 1) // 2, (y0 + 1) // 2, (x1 + 1) // 2, (y1 + 1) // 2")
 _q("raw_text_lines", lambda s, d: T.table(s, d, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("l")).select("doc_id", F.size("l").alias("n"), F.posexplode("l").alias("i", "text")).select("doc_id", "i", F.expr(f"{PAGE_H} / (n + 2.0D)").alias("h"), F.expr(f"(i + 1) * ({PAGE_H} / (n + 2.0D))").alias("y0"), F.lit(20).alias("x0"), F.lit(PAGE_W - 20).alias("x1"), "text"), None, f"SELECT doc_id, i, {PAGE_H} / (n + 2.0) AS h, (i + 1) * ({PAGE_H} / (n + 2.0)) AS y0, 20 AS x0, {PAGE_W - 20} AS x1, text FROM (SELECT doc_id, len(l) AS n, unnest(l) AS text, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents))")

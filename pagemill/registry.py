@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from .operators import library, lines
+from .operators import boxes, library, lines
+from .plans import page
+from .streaming import cache
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (library, lines):
+for _m in (library, lines, boxes, page, cache):
     QUERIES |= _m.Q
     ORACLES |= _m.O
