@@ -76,6 +76,18 @@ def new_words_greedy(found: DataFrame, least: float = 0.6) -> DataFrame:
     return cols.groupBy(*PAGE).applyInPandas(fold, cols.schema)
 
 
+def retry_merge(words: DataFrame, found: DataFrame, few: int = 6, least: float = 0.55) -> DataFrame:
+    """Of pages with few words or under 4 characters, the words of a second pass that found more: those that repeat no box, with the line they join (null: a new one)."""
+    size = lambda w, n: w.groupBy(*PAGE).agg(F.count("*").alias(n), F.sum(F.length("text")).alias(f"{n}_chars"))
+    poor = size(found, "more").join(size(words, "n"), PAGE, "left").where(f"coalesce(n, 0) < {few} or n_chars < 4").where("more > coalesce(n, 0)").select(*PAGE)
+    again = new_words(words, found.join(poor, PAGE, "left_semi"), least)
+    again = again.join(new_words_greedy(again, least).select(*PAGE, "word_no"), [*PAGE, "word_no"], "left_semi")
+    spot = again.select(*PAGE, F.col("word_no").alias("lkey"), F.col("y0").alias("ly0"), F.col("y1").alias("ly1"))
+    lines = words.groupBy(*PAGE, F.col("line_no").alias("rkey")).agg(F.min("y0").alias("ry0"), F.max("y1").alias("ry1"))
+    best = best_overlap(spot, lines, LINE_FOR_BOX).select(*PAGE, F.col("lkey").alias("word_no"), F.col("rkey").alias("joined"))
+    return again.select(*PAGE, "word_no").join(best, [*PAGE, "word_no"], "left")
+
+
 def region_type(words, aspect, rel_h, conf):
     """sfx for few tall uncertain words, balloon for compact text, else text."""
     return F.when((words <= 3) & (rel_h > 0.1) & (conf < 70), "sfx").when(aspect.between(0.3, 3.5) & (words >= 1) & (conf >= 20), "balloon").otherwise("text")
@@ -170,6 +182,7 @@ _PAIR = """SELECT * FROM (WITH f AS (SELECT doc_id, page_no, word_no + 100000 AS
 _q("bbox_iou_pairs", lambda s, d: near_pairs(T.words(s, d), _shift(T.words(s, d))).select("doc_id", "ano", "bno", "iou"), "w", _PAIR.format("SELECT doc_id, ano, bno, i / (t - i) AS iou FROM p"))
 _q("iou_dedup_existing", lambda s, d: new_words(T.words(s, d), _shift(T.words(s, d))).select("doc_id", "word_no"), "w", _PAIR.format("SELECT doc_id, bno AS word_no FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = f.doc_id AND p.bno = f.bno AND i / (t - i) >= 0.6)"))
 _q("iou_dedup_greedy", lambda s, d: new_words_greedy(T.words(s, d).unionByName(_shift(T.words(s, d)))))
+_q("retry_merge", lambda s, d: retry_merge(T.words(s, d).where("word_no % 4 = 0"), T.words(s, d).withColumn("word_no", F.expr("word_no + 100000"))))
 _q("bbox_clamp", lambda s, d: T.words(s, d).select("doc_id", "word_no", *(F.greatest(F.lit(0), F.least(F.lit(m), F.col(c) + a)).alias(c) for c, m, a in (("x0", PAGE_W, -50), ("y0", PAGE_H, -50), ("x1", PAGE_W, 400), ("y1", PAGE_H, 400)))), "w", f"SELECT doc_id, word_no, greatest(0, least({PAGE_W}, x0 - 50)) AS x0, greatest(0, least({PAGE_H}, y0 - 50)) AS y0, greatest(0, least({PAGE_W}, x1 + 400)) AS x1, greatest(0, least({PAGE_H}, y1 + 400)) AS y1 FROM w")
 _q("gray_histogram", lambda s, d: T.pixels(s, d).groupBy("vec_id", "v").agg(F.count("*").alias("n")), "px", "SELECT vec_id, v, count(*) AS n FROM px GROUP BY ALL")
 _ms = "(v - lo) * 255 / greatest(1, hi - lo)"
