@@ -30,11 +30,17 @@ INSULTS = {"idiot": 4.0, "idiots": 4.0, "moron": 4.0, "morons": 4.0, "loser": 4.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown car", "idiot proof", "sore loser", "stupid simple", "class clown", "pond scum")
 
 _GAP = re.compile(r"[\W_]+")
+#: The same folding for texts of Latin-1 only: a letter or digit becomes what FOLD makes of it, all else a gap; soft hyphens go.
+LATIN = bytes(ord(FOLD.get(i) or chr(i)) if (FOLD.get(i) or chr(i)).isalnum() else 32 for i in range(256))
 
 
 def fold(text: str | None) -> str:
     """Lower case, look-alikes and substituted digits as letters, words between single spaces."""
-    return " " + _GAP.sub(" ", (text or "").lower().translate(FOLD)).strip() + " "
+    low = (text or "").lower()
+    try:
+        return " " + b" ".join(low.encode("latin-1").translate(LATIN, b"\xad").split()).decode("latin-1") + " "
+    except UnicodeEncodeError:
+        return " " + _GAP.sub(" ", low.translate(FOLD)).strip() + " "
 
 
 @dataclass(frozen=True)

@@ -41,6 +41,13 @@ def test_toxicity(spark, docs, none):
     assert toxicity.classify(none, labels).isEmpty()
 
 
+def test_fold_of_latin_texts():
+    latin = "".join(map(chr, range(256)))
+    for t in [None, "", " ", "_", latin, " ".join(latin), "1d10t\xads a\xadb 50%ÀÉ ²½ªº", *filter(None, TEXTS)]:
+        slow = " " + toxicity._GAP.sub(" ", (t or "").lower().translate(toxicity.FOLD)).strip() + " "
+        assert toxicity.fold(t) == slow
+
+
 def test_toxicity_held_out(spark):
     r = toxicity.query(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
     n = {(x["toxic"], x["predicted"]): x["count"] for x in r.groupBy("toxic", "predicted").count().collect()}
