@@ -20,6 +20,8 @@ from .common import connected_components, load, sized, store
 
 BITS = 4
 SEGMENTS = BITS + 1
+#: Fingerprints of more than one in HEAVY of all rows are joined by broadcast.
+HEAVY = 10_000
 EDGES = [round(i * 64 / SEGMENTS) for i in range(SEGMENTS + 1)]
 
 
@@ -142,13 +144,16 @@ def components(docs: DataFrame) -> DataFrame:
     it is null only where a whole component has none. Repeated rows get equal results. An empty table gives none.
     """
     own = store(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
-    reps = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    reps = own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     parts = connected_components(links(own))
     linked = parts.select(F.col("node").alias("fp"), "component").join(reps, "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     linked = linked.join(least, "component").select("fp", "least")
-    by_fp = reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = store(reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n"), "by_fingerprint")
+    # Fewer than HEAVY (a fixed number) fingerprints can each hold over one in HEAVY of all rows: these are broadcast, so no task gets all their copies.
+    heavy = F.broadcast(by_fp.where(F.col("n") > own.count() / HEAVY))
+    rest = own.join(heavy.select("fp"), "fp", "left_anti").join(by_fp, "fp")
+    return own.join(heavy, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

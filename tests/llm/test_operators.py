@@ -85,6 +85,17 @@ def test_simhash(spark, docs, none):
     assert simhash.components(none).isEmpty() and simhash.deduplicate(none).isEmpty()
 
 
+def test_simhash_frequent_copies(spark, monkeypatch):
+    rows = [(i, "one text many times over") for i in range(50)] + [(100 + i, f"text {i} of its own kind") for i in range(20)] + [(200, None), (201, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for heavy in (1, 10, 10_000):  # none, the copies, all
+        monkeypatch.setattr(simhash, "HEAVY", heavy)
+        results.append(sorted((r.doc_id, r.fp, r.component_id) for r in simhash.components(d).collect()))
+    assert len(results[0]) == len(rows) and results[0] == results[1] == results[2]
+    assert {c for i, _, c in results[0] if i < 50} == {0} and {c for i, _, c in results[0] if i >= 200} == {200}
+
+
 def test_ring_loses_no_near_pair():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 300, dtype="u8")
