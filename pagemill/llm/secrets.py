@@ -30,8 +30,10 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _SRI = re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/]+=*")
-#: An identifier: parts of letters of one case or Capitalised, joined by _ - / or written together, with a number at most at an end.
-_IDENTIFIER = re.compile(r"(?:[_/=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}))+[_/=-]*\d{0,6}[_/=-]*|[\d_/=+-]+")
+#: The shape of an identifier: parts of letters of one case or Capitalised, joined by _ - / or written together, with a number at most at an end.
+#: Every part is a maximal run that is never given back, so a match takes linear time.
+_IDENTIFIER = re.compile(r"(?:[_/=-]++|[A-Z]?+[a-z]{2,}+|[A-Z]{2,}+)++[0-9]{0,6}+[_/=-]*+|[\d_/=+-]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @lru_cache(maxsize=2)
@@ -44,9 +46,14 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def excluded(s: str) -> bool:
-    """Whether s is a known digest or an identifier."""
-    return any(p.fullmatch(s) for p in (_DIGEST, _UUID, _SRI, _IDENTIFIER))
+def excluded(s: str, path: str, ratio: float = 2.0) -> bool:
+    """Whether s is a known digest or an identifier: its shape, and parts that cost as few tokens as words do."""
+    if any(p.fullmatch(s) for p in (_DIGEST, _UUID, _SRI)):
+        return True
+    if not _IDENTIFIER.fullmatch(s):
+        return False
+    parts = _PART.findall(s)
+    return sum(map(len, parts)) >= ratio * sum(len(x) for x in _encoding(path).encode_ordinary_batch(parts, num_threads=1))
 
 
 def spans(text: str | None, path: str, ratio: float = 2.0) -> list[tuple[int, int, str]]:
@@ -61,7 +68,7 @@ def spans(text: str | None, path: str, ratio: float = 2.0) -> list[tuple[int, in
     for m in runs:
         for x in _RUN.finditer(text, *m.span()):
             s, (a, b) = x[0], x.span()
-            if excluded(s) or len(set(s)) < 8 or any(a < e and c < b for c, e, _ in out):
+            if len(set(s)) < 8 or any(a < e and c < b for c, e, _ in out) or excluded(s, path, ratio):
                 continue
             if len(s) / len(_encoding(path).encode_ordinary(s)) < ratio:
                 out.append((a, b, "random"))
