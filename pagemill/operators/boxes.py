@@ -217,7 +217,7 @@ _q("photo_filter", _photo, "w", f"SELECT doc_id, word_no FROM w WHERE (doc_id, p
 def _tile_filter(s, d):
     """Words over masked tiles of 128: a word hits if any tile that it covers is masked; here every third is."""
     w = T.words(s, d)
-    over = w.select("doc_id", "word_no", F.explode(F.sequence(F.expr("x0 div 128"), F.expr("x1 div 128"))).alias("tx"), F.expr("y0 div 128").alias("ty")).where("(tx + ty + doc_id) % 3 = 0").select("doc_id", "word_no").distinct().withColumn("hit", F.lit(True))
+    over = w.select("doc_id", "word_no", F.explode(F.sequence(F.expr("x0 div 128"), F.expr("x1 div 128"))).alias("tx"), "y0", "y1").withColumn("ty", F.explode(F.sequence(F.expr("y0 div 128"), F.expr("y1 div 128")))).where("(tx + ty + doc_id) % 3 = 0").select("doc_id", "word_no").distinct().withColumn("hit", F.lit(True))
     w = w.join(over, ["doc_id", "word_no"], "left").withColumn("a", F.length(alnum(F.col("text"))))
     aspect = F.expr("(x1 - x0) / greatest(1, y1 - y0)")
     drop = F.when((_relh() >= 0.045) & (F.col("conf") >= 80), False).when(F.col("hit").isNull(), False).when(~non_latin(F.col("text")), F.col("a").between(1, 2) & (_relh() <= 0.02) & (F.col("conf") < 70)).when(_var() <= 850, False).otherwise((F.col("conf") < 70) & ((_relh() <= 0.02) | (aspect >= 18)))
