@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cmp_to_key
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,15 +96,18 @@ def region_type(words, aspect, rel_h, conf):
 
 
 def regions(words: DataFrame, page_w: int = PAGE_W, page_h: int = PAGE_H) -> DataFrame:
-    """Words grouped first-fit into boxes that grow: beside (x gap under .05 of the width) or below (.02 of the height); a fold of each page."""
+    """Words grouped first-fit into boxes that grow: beside (x gap under .05 of the width) or below (.02 of the height); a fold of each page in the order of y0 with a tolerance of .02 of the height, then x0."""
+    tol = 0.02 * page_h
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "word_no"], kind="stable")
+        pdf = pdf.sort_values("word_no", kind="stable")
+        # The comparison is no order over a whole page, so it needs a comparator: no key sorts the same.
+        rows = sorted(pdf.itertuples(index=False), key=cmp_to_key(lambda a, b: a.y0 - b.y0 if abs(a.y0 - b.y0) > tol else a.x0 - b.x0))
         groups: list[list] = []  # x0, y0, x1, y1, words, conf sum, texts
-        for r in pdf.itertuples(index=False):
+        for r in rows:
             for g in groups:
                 beside = min(r.y1, g[3]) > max(r.y0, g[1]) and -r.x1 < r.x0 - g[2] < 0.05 * page_w
-                below = abs(r.y0 - g[3]) < 0.02 * page_h and min(r.x1, g[2]) > max(r.x0, g[0])
+                below = abs(r.y0 - g[3]) < tol and min(r.x1, g[2]) > max(r.x0, g[0])
                 if beside or below:
                     g[:4] = min(g[0], r.x0), min(g[1], r.y0), max(g[2], r.x1), max(g[3], r.y1)
                     g[4] += 1
