@@ -3,7 +3,7 @@
 import random
 import string
 
-from pagemill.llm import secrets
+from pagemill.llm import secrets, urls
 
 
 def test_one_case_keys_and_long_paths():
@@ -13,3 +13,13 @@ def test_one_case_keys_and_long_paths():
         assert sum(secrets.spans(f"key {k} end", path) == [(4, 44, "random")] for k in keys) >= 45
     for s in ("/documentation/configuration/administration/installation-2/guide", "/" + "documentation/" * 2000 + "-2/guide", "geschwindigkeitsbegrenzungen", "THIS_IS_A_CONSTANT_NAME", "getElementsByClassNameOrId"):
         assert secrets.spans(s, path) == []
+
+
+def test_listed_pages_have_no_largest_number(spark, tmp_path):
+    rows = [
+        ("http://www.spam-farm.example.org/fr/1200.html", "block"), ("https://spam-farm.example.org:443/fr/98765/?q", "block"), ("http://ads-track.example.com/de/0", "block"),
+        ("http://spam-farm.example.org/it/1200", "allow"), ("http://spam-farm.example.org/fr/01200", "allow"), ("http://x.spam-farm.example.org/fr/1200", "allow"), (None, "allow"),
+    ]
+    spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in urls.query(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(rows))] == [v for _, v in rows]
