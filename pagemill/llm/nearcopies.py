@@ -1,0 +1,119 @@
+"""Near copies by shingles of five words: bands of a MinHash find candidates, the exact Jaccard similarity of the shingle sets decides.
+
+Two texts of similarity s share one of BANDS bands of ROWS minima with a chance of 1 - (1 - s^ROWS)^BANDS, which is
+0.999997 at 0.8. Texts that share a band are linked to the least of the band; the texts of each connected group then
+meet once, and are compared as sets. Texts of equal words are one from the start.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import connected_components, sized, store, text_key
+
+SHINGLE, LEAST = 5, 0.8
+ROWS, BANDS = 4, 24
+_rng = np.random.default_rng(7)
+_MUL, _ADD = _rng.integers(1, 1 << 63, ROWS * BANDS, dtype="u8") | np.uint64(1), _rng.integers(0, 1 << 63, ROWS * BANDS, dtype="u8")
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # ASCII letters and ASCII white space only, as for fingerprints
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the text's runs of SHINGLE words; of all its words if they are fewer; none without words."""
+    ws = _words(text)
+    grams = ([b" ".join(ws)] if ws else []) if len(ws) < SHINGLE else map(b" ".join, zip(*(ws[i:] for i in range(SHINGLE)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), dtype="u8"))
+
+
+def bands(text: str | None) -> list[int]:
+    """Hashes of the BANDS groups of minima, as signed longs; none without words."""
+    h = shingles(text)
+    if not len(h):
+        return []
+    low = np.full(ROWS * BANDS, np.iinfo("u8").max, dtype="u8")
+    for i in range(0, len(h), 1024):
+        # The product's high bits depend on all bits of the hash, its low ones on few: the shift folds them.
+        x = h[i : i + 1024, None] * _MUL + _ADD
+        np.minimum(low, ((x ^ (x >> np.uint64(31))) * _MUL).min(axis=0), out=low)
+    own = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(own[b].tobytes(), seed=b) for b in range(BANDS)], dtype="u8").view("i8").tolist()
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) as (doc_id, tk, wk, keys): the key of the text, of its words, and the bands."""
+
+    @F.pandas_udf("wk long, keys array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            wk = np.array([xxhash.xxh3_64_intdigest(b" ".join(_words(x))) for x in t], dtype="u8").view("i8")
+            yield pd.DataFrame({"wk": wk, "keys": pd.Series([bands(x) for x in t], dtype=object)})
+
+    return docs.select("doc_id", text_key(F.col("text")).alias("tk"), of(F.col("text")).alias("s")).select("doc_id", "tk", "s.wk", "s.keys")
+
+
+def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that join what all pairs of the group's texts at LEAST or more join: at most one fewer than its texts."""
+    sets = [shingles(t) for t in pdf["text"]]
+    wk, sizes = pdf["wk"].to_numpy("i8"), np.array([len(x) for x in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner, left, out = every[order], owner[order], np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        queue = [first] if left[first] else []
+        left[first] = False
+        while queue and left.any():
+            top = queue.pop()
+            lo, hi = np.searchsorted(every, sets[top], "left"), np.searchsorted(every, sets[top], "right")
+            n = hi - lo
+            at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())  # all places of the text's shingles
+            common = np.bincount(owner[at], minlength=len(sets))
+            near = np.flatnonzero(left & (common >= LEAST * (sizes[top] + sizes - common)))
+            left[near] = False
+            queue += near.tolist()
+            out += [(wk[top], wk[y]) for y in near]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) over reps(wk, first, keys) that connect what all found pairs at LEAST or more connect; docs hold the texts."""
+    keyed = store(reps.select(F.explode("keys").alias("key"), "wk"), "bands")
+    least = keyed.groupBy("key").agg(F.min("wk").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    edges = keyed.join(least, "key").where("wk <> least").select(F.col("least").alias("a"), F.col("wk").alias("b")).distinct()
+    groups = connected_components(edges).withColumnRenamed("node", "wk")
+    # Only texts with a candidate are exchanged.
+    some = sized(store(reps.join(groups, "wk").select("component", "wk", "first.doc_id", "first.tk"), "candidates"))
+    texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("tk"))
+    met = texts.join(some, texts["doc_id"].eqNullSafe(some["doc_id"]) & (texts["tk"] == some["tk"])).select("component", "wk", "text")
+    return met.dropDuplicates(["component", "wk"]).groupBy("component").applyInPandas(_confirm, "a long, b long")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs of which each group of near copies keeps one: that of its smallest doc_id, then text key; null ids come last.
+
+    Groups are connected by similarities of LEAST or more; rows without words are one group. Equal ids alone make no copies.
+    """
+    own = store(_keyed(docs), "keyed")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
+    reps = store(own.groupBy("wk").agg(F.min(first).alias("first"), F.first("keys").alias("keys")), "words")
+    parts = connected_components(links(docs, reps)).withColumnRenamed("node", "wk")
+    near = store(reps.join(parts, "wk").select("component", "wk", "first"), "near")
+    heads = near.groupBy("component").agg(F.min("first").alias("head"))
+    losers = near.join(heads, "component").where("first <> head").select("wk")
+    kept = reps.join(losers, "wk", "left_anti").select("wk", "first")
+    # What goes: rows of words that are kept nowhere, and of kept words those of another id or text.
+    gone = own.join(kept, "wk", "left").where(F.col("first").isNull() | ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk"))))
+    gone = sized(store(gone.select("doc_id", "tk").distinct(), "copies"))
+    out = docs.withColumn("tk_", text_key(F.col("text")))
+    out = out.join(gone, out["doc_id"].eqNullSafe(gone["doc_id"]) & (out["tk_"] == gone["tk"]), "left_anti")
+    if not own.groupBy("doc_id", "tk").count().where("count > 1").isEmpty():  # rows of equal id and text
+        out = out.dropDuplicates(["doc_id", "tk_"])
+    return out.select(*docs.columns)

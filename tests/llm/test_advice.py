@@ -3,7 +3,10 @@
 import random
 import string
 
-from pagemill.llm import secrets, urls
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pagemill.llm import nearcopies, secrets, urls
 
 
 def test_one_case_keys_and_long_paths():
@@ -23,3 +26,34 @@ def test_listed_pages_have_no_largest_number(spark, tmp_path):
     spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.verdict for r in urls.query(spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(len(rows))] == [v for _, v in rows]
+
+
+def test_stage_drops_copies_near_the_limit(spark):
+    rng, rows = random.Random(4), []
+    for g in range(40):
+        ws = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows.append((10 * g, " ".join(ws)))
+        for c in range(1, 4):  # words changed far apart: 5 shingles each
+            near = list(ws)
+            for i in range(2 + 2 * c + g % 3):
+                near[20 + 30 * i] = f"new{g}-{c}-{i}"
+            rows.append((10 * g + c, " ".join(near)))
+    rows += [(None, rows[0][1]), (7000, "one text of an id"), (7000, "another text of this id"), (7001, "One text  of AN id"), (7002, ""), (7003, None), (7004, "one text of an id")]
+    sets = [set(zip(*(t.lower().split()[i:] for i in range(5)))) or {t.lower()} if t else set() for _, t in rows]
+    part = list(range(len(rows)))
+    key = lambda i: (rows[i][0] is None, rows[i][0] or 0, i)
+    same = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    words = [" ".join((t or "").lower().split()) for _, t in rows]
+    moved = True
+    while moved:
+        moved = False
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if key(part[j]) < key(part[i]) and (words[i] == words[j] or sets[i] and sets[j] and same(sets[i], sets[j])):
+                    part[i], moved = part[j], True
+    want = sorted(((rows[i][0], rows[i][1] or "") for i in set(part)), key=str)
+    assert 40 < len(want) < len(rows) - 10
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = corpus_pipeline.near_duplicates(spark, d, "")
+    assert got.columns == d.columns and sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == want
+    assert nearcopies.deduplicate(d.where("false")).isEmpty()
