@@ -70,7 +70,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     joined = near.alias("n").join(each.alias("e"), F.col("n.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("n.dk") == F.col("e.dk"))).select("n.doc_id", "n.dk", "w", "c")
     cut = joined.select("doc_id", "dk", F.explode(F.transform("c", lambda c: F.struct(c["item_id"].alias("item_id"), c["start"].alias("start"), c["pos"].alias("pos"), c["len"].alias("len"), F.slice("w", c["pos"] + 1, c["len"]).alias("words")))).alias("c"))
     cut = cut.select("doc_id", "dk", "c.*")
-    found = cut.join(wins.select("item_id", "start", "words").distinct(), ["item_id", "start", "words"], "left_semi").select("doc_id", "dk", "item_id", "pos", "len")
+    known = wins.select("item_id", "start", "words").distinct()
+    same = [cut["item_id"].eqNullSafe(known["item_id"]), cut["start"] == known["start"], cut["words"] == known["words"]]  # item ids may be null
+    found = cut.join(known, same, "left_semi").select("doc_id", "dk", "item_id", "pos", "len")
     return index, found
 
 
@@ -78,7 +80,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """Every row of docs with n_words, n_hit (words within an occurrence), n_items, items_sha256 and contaminated.
 
     Null, empty and wordless texts have no words and are clean, as is everything against an empty benchmark. Rows with
-    equal id and text get equal results; items of equal id count once, but each of their texts is searched.
+    equal id and text get equal results; items of equal id count once, but each of their texts is searched. Items
+    without an id mark words and documents, but no id of theirs is counted or listed.
     """
     index, found = occurrences(docs, benchmark, window)
     found = store(found, "found")

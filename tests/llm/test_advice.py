@@ -1,4 +1,4 @@
-"""Findings of the review: each test failed before its change."""
+"""Findings of the review over the training-data operators and the pipeline."""
 
 import random
 import string
@@ -6,7 +6,7 @@ import string
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import nearcopies, secrets, urls
+from pagemill.llm import decontaminate, nearcopies, secrets, urls
 
 
 def test_one_case_keys_and_long_paths():
@@ -28,6 +28,15 @@ def test_listed_pages_have_no_largest_number(spark, tmp_path):
     assert [got[i] for i in range(len(rows))] == [v for _, v in rows]
 
 
+def test_benchmark_item_without_id(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    b = spark.createDataFrame([(None, item), (7, "other words")], "item_id long, text string")
+    d = spark.createDataFrame([(1, f"zero {item} end"), (2, "some other words"), (3, "nothing")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(d, b).collect()}
+    assert got == {1: (11, 0, True), 2: (2, 1, True), 3: (0, 0, False)}
+    assert [r.doc_id for r in decontaminate.clean(d, b).collect()] == [3]
+
+
 def test_stage_drops_copies_near_the_limit(spark):
     rng, rows = random.Random(4), []
     for g in range(40):

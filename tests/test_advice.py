@@ -1,4 +1,4 @@
-"""Findings of the review over page operators: each test failed before its change."""
+"""Findings of the review over page operators."""
 
 from pagemill.operators import boxes
 from pagemill.sources import tables
