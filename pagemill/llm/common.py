@@ -19,12 +19,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset a local session gets a temporary folder; on a cluster, whose executors could not read that, this raises.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = jdir.get() if jdir.isDefined() else None
     if not path:
+        if not (m := spark.conf.get("spark.master", "")).startswith("local") or m.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -38,13 +43,40 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Up to so many rows of a counted table are broadcast; beyond it the same join shuffles.
-MOST_BROADCAST = 300_000
+#: Rows of a text batch that goes to Python at once: texts have no bound, so few of them may fill a worker's memory.
+TEXT_BATCH = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session for columns of whole texts; a smaller bound that is set already stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_BATCH:
+        spark.conf.set(key, str(TEXT_BATCH))
+
 
+#: A table of at most so many bytes, as JSON, is broadcast; beyond it the same join shuffles.
+MOST_BROADCAST = 32 << 20
+#: Partitions over which that shuffle deals the rows of one key.
+SALTS = 16
 
-def sized(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A stored table, marked for broadcast if its counted rows are few."""
-    return F.broadcast(small) if small.count() <= most else small
+
+def small_enough(table: DataFrame) -> bool:
+    """Whether a stored table is small enough to broadcast, by the measured bytes of all its rows."""
+    return (table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= MOST_BROADCAST
+
+
+def meet(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """big joined to a stored table by equal columns; how is inner, left, left_semi or left_anti.
+
+    small is broadcast if its bytes allow. Beyond that the rows of big are dealt over SALTS partitions a key, each of
+    which gets a copy of small's rows of that key: a key that a third of big's rows hold, null included, is split.
+    """
+    if small_enough(small):
+        return big.join(F.broadcast(small), on, how)
+    salt = next(f"salt{'_' * i}" for i in range(99) if f"salt{'_' * i}" not in (*big.columns, *small.columns))
+    dealt = big.withColumn(salt, F.pmod(F.xxhash64(*[c for c, t in big.dtypes if not t.startswith("map")], F.spark_partition_id()), F.lit(SALTS)))
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, [*on, salt], how).drop(salt)
 
 
 def ascii_lower(c: Column) -> Column:

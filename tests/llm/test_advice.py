@@ -6,7 +6,7 @@ import string
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import decontaminate, nearcopies, secrets, urls
+from pagemill.llm import decontaminate, secrets, simhash, urls
 
 
 def test_one_case_keys_and_long_paths():
@@ -65,4 +65,4 @@ def test_stage_drops_copies_near_the_limit(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
     got = corpus_pipeline.near_duplicates(spark, d, "")
     assert got.columns == d.columns and sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == want
-    assert nearcopies.deduplicate(d.where("false")).isEmpty()
+    assert simhash.deduplicate(d.where("false")).isEmpty()
