@@ -1,7 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter; contained detections of no higher priority are dropped.
 
-A text is brought to words between single spaces; a rule is a regular expression over these. Texts without a keyword
-are not searched at all, and a rule only meets texts that hold its own keyword.
+A text is brought to words, and texts without any keyword go no further. The others are cut into segments of SEGMENT
+words with the longest rule's words on both sides, so that a text of any length is many bounded rows. In a segment a
+rule's expression is only tried where its keyword stands; a detection belongs to the segment in which it starts.
 """
 
 from __future__ import annotations
@@ -9,134 +10,87 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, ascii_lower, load, store, text_key, words
+from .common import load, meet, store, text_key, words
+from .license_rules import LONGEST, RULES, SCORES
 
 #: The base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-
-#: Labels with their keyword, names as they stand in prose, and identifiers; hand-written, over words between spaces.
-FAMILIES = (
-    ("mit", "mit", "mit|expat|mit x11", "mit"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?|asl 2(?: 0)?", "apache 2 0"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 1", "apache 1 1"),
-    ("apache", "apache", "apache(?: software)?", "apache"),
-    ("gpl-2", "2", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?2(?: 0)?|gplv2", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "3", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?3(?: 0)?|gplv3", "gpl 3 0(?: only| or later)?"),
-    ("gpl", "g", "(?:gnu )?gpl|gnu general public", "gpl"),
-    ("lgpl-2.1", "2", "(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?2(?: 1)?|lgplv2", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", "3", "(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?3(?: 0)?|lgplv3", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl", "l", "(?:gnu )?lgpl|gnu lesser general public|gnu library general public", "lgpl"),
-    ("agpl-3", "a", "(?:gnu )?(?:agpl|affero general public license)(?: version| v)? ?3(?: 0)?|agplv3|(?:gnu )?agpl|gnu affero general public", "agpl 3 0(?: only| or later)?"),
-    ("bsd-2", "bsd", "(?:2|two) clause bsd|bsd 2 clause|simplified bsd|freebsd", "bsd 2 clause"),
-    ("bsd-3", "bsd", "(?:3|three) clause bsd|bsd 3 clause|new bsd|revised bsd|modified bsd", "bsd 3 clause"),
-    ("bsd-4", "bsd", "(?:4|four) clause bsd|bsd 4 clause|original bsd", "bsd 4 clause"),
-    ("bsd", "bsd", "bsd(?: style)?", "0bsd"),
-    ("mpl-2", "m", "mozilla public license(?: version| v)? ?2(?: 0)?|mpl(?: version| v)? ?2(?: 0)?", "mpl 2 0"),
-    ("mpl-1.1", "m", "mozilla public license(?: version| v)? ?1 1|mpl(?: version| v)? ?1 1", "mpl 1 1"),
-    ("mpl", "m", "mozilla public|mpl", "mpl"),
-    ("epl-2", "e", "eclipse public license(?: version| v)? ?2(?: 0)?|epl(?: version| v)? ?2(?: 0)?", "epl 2 0"),
-    ("epl-1", "e", "eclipse public license(?: version| v)? ?1(?: 0)?|epl(?: version| v)? ?1(?: 0)?", "epl 1 0"),
-    ("cddl", "c", "common development and distribution|cddl", "cddl 1 [01]"),
-    ("isc", "isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
-    ("boost-1", "boost", "boost software|boost", "bsl 1 0"),
-    ("unlicense", "unlicense", "the unlicense|unlicense", "unlicense"),
-    ("wtfpl", "w", "wtfpl|do what the fuck you want to public", "wtfpl"),
-    ("artistic-2", "artistic", "(?:perl )?artistic license(?: version| v)? ?2(?: 0)?", "artistic 2 0"),
-    ("artistic", "artistic", "(?:perl )?artistic", "artistic 1 0"),
-    ("python-2", "p", "python software foundation|psf", "(?:python|psf) 2 0"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("openssl", "openssl", "openssl", "openssl"),
-    ("ofl-1.1", "o", "sil open font|open font|ofl", "ofl 1 1"),
-    ("odbl", "o", "open database|odbl", "odbl 1 0"),
-    ("eupl", "e", "european union public|eupl", "eupl 1 [12]"),
-    ("ms-pl", "m", "microsoft public|ms pl", "ms pl"),
-    ("cc0", "c", "cc0(?: 1 0)?|cc 0|creative commons zero", "cc0 1 0"),
-    ("cc-by", "c", "cc by(?: \\d 0)?|creative commons attribution(?: \\d 0)?", "cc by \\d 0"),
-    ("cc-by-sa", "c", "cc by sa(?: \\d 0)?|creative commons attribution share ?alike(?: \\d 0)?", "cc by sa \\d 0"),
-    ("cc-by-nd", "c", "cc by nd(?: \\d 0)?|creative commons attribution no ?derivatives(?: \\d 0)?", "cc by nd \\d 0"),
-    ("cc-by-nc", "c", "cc by nc(?: \\d 0)?|creative commons attribution non ?commercial(?: \\d 0)?", "cc by nc \\d 0"),
-    ("cc-by-nc-sa", "c", "cc by nc sa(?: \\d 0)?|creative commons attribution non ?commercial share ?alike(?: \\d 0)?", "cc by nc sa \\d 0"),
-    ("cc-by-nc-nd", "c", "cc by nc nd(?: \\d 0)?|creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: \\d 0)?", "cc by nc nd \\d 0"),
-    ("public-domain", "public", "public domain", "pddl 1 0"),
-    ("proprietary", "all", "all rights reserved", "licenseref proprietary"),
-)
-#: How a family is named: priority, score, keyword beside the family's, regular expression.
-FORMS = (
-    (50, 1.0, "spdx", "spdx licen[sc]e identifier (?:{spdx})"),
-    (40, 0.95, "under", "(?:licen[sc]ed|released|distributed|available|provided|published|covered|shared) under (?:the )?(?:terms (?:of|and conditions of) )?(?:the )?(?:{name})(?: licen[sc]e)?"),
-    (35, 0.9, "under", "under (?:the )?(?:terms (?:of|and conditions of) )?(?:the )?(?:{name}) licen[sc]e"),
-    (30, 0.8, "licen", "(?:{name}) (?:public )?licen[sc]e(?: (?:version|v) ?\\d+(?: \\d+)?)?"),
-    (20, 0.7, "licen", "licen[sc]e (?:is |type )?(?:the )?(?:{name})"),
-)
-#: Long identifiers that are plain enough to stand alone.
-ALONE = {"cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "cc0", "public-domain", "proprietary"}
-#: A text without any of these has no place for a rule or a base phrase.
-GATE = r"licen[sc]|spdx|creative[\x00-\x2F\x3A-\x60\x7B-\x7F]+commons|cc0|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(by|0)|public[\x00-\x2F\x3A-\x60\x7B-\x7F]+domain|rights[\x00-\x2F\x3A-\x60\x7B-\x7F]+reserved|under[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-#: "under the <name>" alone also passes the gate; it needs one of these to be searched.
-NAMED = r" (licen[sc]ed?|unlicense|spdx|mit|expat|apache|asl|gnu|gpl|gplv[23]|lgpl|lgplv[23]|agpl|agplv3|bsd|freebsd|mozilla|mpl|eclipse|epl|cddl|isc|zlib|boost|wtfpl|artistic|python|psf|postgresql|openssl|ofl|odbl|eupl|creative|cc|cc0|public|rights|microsoft|ms|european|sil|open|common|simplified|new|revised|modified|original|perl) "
+#: Words of a segment that are its own.
+SEGMENT = 256
+#: Every rule and base phrase fits only texts with one of these words, or with one of these phrases; other texts go no further.
+GATE = """license licence licenses licences licensed licenced unlicense spdx hereby apache asl gpl gplv2 gplv3 lgpl lgplv2 lgplv3 agpl agplv3 bsd redistribution
+    mpl cddl zlib wtfpl unencumbered odbl eupl cecill evil commons cc0 cc creativecommons domain proprietary rights""".split()
+PHRASES = ("under mit",)
 
 
 def rules() -> list[tuple]:
-    """(number, label, priority, score, keyword, keyword of the form, regular expression); base phrases have priority 100."""
-    out = [(label, 100, 1.0, p.split()[0], "", p) for p, label in BASE]
-    for label, key, name, spdx in FAMILIES:
-        out += [(label, priority, score, key, form, rx.format(name=name, spdx=spdx)) for priority, score, form, rx in FORMS]
-        if label in ALONE:
-            out.append((label, 10, 0.6, key, "", name))
-    return [(i, *r[:5], f"(?<= )(?:{r[5]})(?= )") for i, r in enumerate(out)]
-
-
-def detections(texts: DataFrame) -> DataFrame:
-    """(doc_id, dk, rule, label, priority, score, start, end) of all matches in texts(doc_id, dk, norm); places are characters of norm."""
-    names = ("rule", "label", "priority", "score", "key", "form", "rx")
-    table = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, r, strict=True))) for r in rules()))
-    fitting = F.filter(table, lambda r: F.contains("norm", r["key"]) & F.contains("norm", r["form"]) & F.regexp_like("norm", r["rx"]))
-    met = texts.select("doc_id", "dk", "norm", F.explode(fitting).alias("r")).select("doc_id", "dk", "norm", "r.*")
-    met = met.withColumns({"m": F.regexp_extract_all("norm", F.col("rx"), F.lit(0)), "p": F.split("norm", F.col("rx"), -1)})
-    ends = F.transform("m", lambda x, i: F.length(x))
-    starts = F.transform(F.sequence(F.lit(0), F.size("m") - 1), lambda i: F.aggregate(F.slice("p", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(ends, 1, i), F.lit(0), lambda a, x: a + x))
-    spans = F.transform(starts, lambda s, i: F.struct(s.alias("start"), (s + F.length(F.get("m", i))).alias("end")))
-    return met.select("doc_id", "dk", "norm", "rule", "label", "priority", "score", F.explode(spans).alias("s")).select(
-        "doc_id", "dk", "rule", "label", "priority", "score", "s.start", "s.end",
-        (F.size(F.split(F.substring(F.col("norm"), F.lit(1), F.col("s.start")), " ")) - 2).cast("long").alias("word"),
-    )
+    """(number, label, priority, score, keyword, regular expression) in order; base phrases come first, with priority 100."""
+    out = [(label, 100, p, p) for p, label in BASE]
+    for line in RULES.strip().split("\n"):
+        label, priority, keyword, rx = line.split(" | ")
+        out.append((label, int(priority), keyword, rx))
+    return [(i, label, p, SCORES[p], k, f"(?<= )(?:{rx})(?= )") for i, (label, p, k, rx) in enumerate(out)]
+
+
+def segments(texts: DataFrame) -> DataFrame:
+    """(doc_id, dk, first, lead, norm) of texts(doc_id, dk, w): segments as words between single spaces; lead words of the one before come first."""
+    at = F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(SEGMENT)))
+    s = texts.where("size(w) > 0").select("doc_id", "dk", "w", at.alias("first")).withColumn("lead", F.least("first", F.lit(LONGEST)))
+    own = F.slice("w", F.col("first") - F.col("lead") + 1, F.col("lead") + SEGMENT + LONGEST)
+    return s.select("doc_id", "dk", "first", "lead", F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")).alias("norm"))
+
+
+def detections(segs: DataFrame) -> DataFrame:
+    """(doc_id, dk, first, lead, rule, label, priority, score, start, end) of all matches in segments; places are words of the segment."""
+    every = rules()
+    fits = F.array_compact(F.array(*(F.when(F.contains("norm", F.lit(k)) & F.rlike("norm", F.lit(rx)), F.lit(i)) for i, _, _, _, k, rx in every)))
+    met = segs.withColumn("rule", F.explode(fits))
+    names = ("label", "priority", "score", "rx")
+    table = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, (r[1], r[2], r[3], r[5]), strict=True))) for r in every))
+    met = met.withColumn("r", F.get(table, F.col("rule"))).select("doc_id", "dk", "first", "lead", "norm", "rule", "r.*")
+    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    met = met.withColumns({"m": F.transform(F.regexp_extract_all("norm", F.col("rx"), F.lit(0)), spaces), "p": F.transform(F.split("norm", F.col("rx"), -1), spaces)})
+    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + x)
+    spans = F.transform("m", lambda n, i: F.struct((total("p", i + 1) + total("m", i) - 1).alias("start"), (total("p", i + 1) + total("m", i) + n).alias("end")))
+    return met.select("doc_id", "dk", "first", "lead", "rule", "label", "priority", "score", F.explode(spans).alias("s")).select("doc_id", "dk", "first", "lead", "rule", "label", "priority", "score", "s.*")
+
+
+def beats(x, y):
+    """Whether detection x drops y: it contains it and has a higher priority, or the same and is longer, or equal and comes first."""
+    inside = (x["start"] <= y["start"]) & (x["end"] >= y["end"])
+    longer = (x["end"] - x["start"]) > (y["end"] - y["start"])
+    same = (x["end"] - x["start"]) == (y["end"] - y["start"])
+    wins = (x["priority"] > y["priority"]) | ((x["priority"] == y["priority"]) & (longer | (same & (x["rule"] < y["rule"]))))
+    # A longer name says more than the shorter one in it, whatever their priorities; base phrases always stay.
+    return inside & (x["rule"] != y["rule"]) & (wins | longer) & (y["priority"] < 100)
+
+
+def kept(found: DataFrame) -> DataFrame:
+    """(doc_id, dk, label, priority, score, word) of the detections that no other one beats; word is the place in the text."""
+    one = F.struct("rule", "label", "priority", "score", "start", "end")
+    per = found.groupBy("doc_id", "dk", "first", "lead").agg(F.collect_list(one).alias("all"))  # of one segment: bounded
+    stay = F.filter("all", lambda y: (y["start"] >= F.col("lead")) & (y["start"] < F.col("lead") + SEGMENT) & ~F.exists("all", lambda x: beats(x, y)))
+    out = per.select("doc_id", "dk", "first", "lead", F.explode(stay).alias("y"))
+    return out.select("doc_id", "dk", "y.label", "y.priority", "y.score", (F.col("first") + F.col("y.start") - F.col("lead")).cast("long").alias("word"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """A row per row of docs(doc_id, text): counts and places of base phrases, base_labels, labels, score.
 
-    Of the rules' detections one is dropped if another one's interval contains it and that one has a higher priority,
-    or the same and is longer, or equal and comes first. Null, empty and wordless texts have no labels and score 0.
-    Rows with equal id and text get equal results.
+    Null, empty and wordless texts have no labels and score 0. Rows with equal id and text get equal results; an empty
+    table gives none.
     """
-    low = ascii_lower(F.col("text"))
-    d = docs.select("doc_id", text_key(F.col("text")).alias("dk"), words(F.col("text")).alias("w"), F.coalesce(low.rlike(GATE), F.lit(False)).alias("gate"))
-    norm = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    d = store(d.select("doc_id", "dk", F.size("w").cast("long").alias("n_words"), F.when(F.col("gate"), norm).alias("norm")), "words")
-    found = store(detections(d.where(F.col("norm").rlike(NAMED)).select("doc_id", "dk", "norm").dropDuplicates(["doc_id", "dk"])), "detections")
+    rid = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00"))
+    d = docs.select("doc_id", text_key(F.col("text")).alias("dk"), words(F.col("text")).alias("w"))
+    d = d.withColumn("gate", F.arrays_overlap("w", F.array(*map(F.lit, GATE))) | F.exists(F.array(*map(F.lit, PHRASES)), lambda p: F.contains(F.array_join("w", " "), p)))
+    d = store(d.select("doc_id", "dk", F.size("w").cast("long").alias("n_words"), F.when(F.col("gate"), F.col("w")).alias("w")), "words")
+    found = store(detections(segments(d.where("w is not null").select(rid.alias("doc_id"), "dk", "w"))).distinct(), "detections")
     base = F.col("priority") == 100
-    one = F.struct("rule", "label", "priority", "score", "start", "end")
-    per = found.groupBy("doc_id", "dk").agg(
+    per = kept(found).groupBy("doc_id", "dk").agg(
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("word"))).alias("first_word"), F.max(F.when(base, F.col("word"))).alias("last_word"),
-        F.array_sort(F.collect_set(F.when(base, F.col("label")))).alias("b"), F.collect_list(one).alias("all"),
-    )
-
-    def beats(x, y):
-        inside = (x["start"] <= y["start"]) & (x["end"] >= y["end"])
-        same, longer = x["priority"] == y["priority"], (x["end"] - x["start"]) > (y["end"] - y["start"])
-        equal = (x["end"] - x["start"]) == (y["end"] - y["start"])
-        wins = (x["priority"] > y["priority"]) | (same & longer) | (same & equal & (x["rule"] < y["rule"]))
-        # A longer name of a family's kind says more than the shorter one in it, whatever the form.
-        return inside & (x["rule"] != y["rule"]) & (wins | ((y["priority"] < 100) & longer & (x["priority"] >= 10)))
-
-    kept = F.filter("all", lambda y: (y["priority"] == 100) | ~F.exists("all", lambda x: beats(x, y)))
-    per = per.withColumn("kept", kept).select(
-        F.col("doc_id").alias("pd"), F.col("dk").alias("pk"), "n_base", "first_word", "last_word", F.array_join("b", ",").alias("bl"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("kept", lambda x: x["label"]))), ",").alias("l"), F.array_max(F.transform("kept", lambda x: x["score"])).alias("s"),
-    )
-    out = d.select("doc_id", "dk", "n_words")
-    out = out.join(per, out["doc_id"].eqNullSafe(per["pd"]) & (out["dk"] == per["pk"]), "left")
+        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("bl"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("l"), F.max("score").alias("s"),
+    ).withColumnRenamed("doc_id", "rid")
+    out = meet(d.select("doc_id", rid.alias("rid"), "dk", "n_words"), store(per, "labels"), ["rid", "dk"], "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("bl", F.lit("")).alias("base_labels"), F.coalesce("l", F.lit("")).alias("labels"), F.coalesce("s", F.lit(0.0)).alias("score"),
@@ -144,4 +98,5 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """op10: scan() of the whole table documents; odd rows as defined there."""
     return scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
