@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, text_batches
 
 CONTEXT, END, LINEAR = 4096, 2, 1.0
 GROUP = 1 << 20
@@ -136,6 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, end: int = END
         if ids:
             yield out(names, ids)
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(packed, SCHEMA + (", ids array<long>" if with_ids else ""))
 
 
@@ -147,4 +148,5 @@ def tokenizer_path() -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """op6: pack() of the whole table documents; odd rows as defined there."""
     return pack(load(spark, sf_dir, "documents"), tokenizer_path())

@@ -9,6 +9,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, text_batches
 
 #: The patterns of the base kinds, in the order in which equal starts are listed.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -56,8 +58,8 @@ def excluded(s: str, path: str, ratio: float = 2.0) -> bool:
     return sum(map(len, parts)) >= ratio * sum(len(x) for x in _encoding(path).encode_ordinary_batch(parts, num_threads=1))
 
 
-def spans(text: str | None, path: str, ratio: float = 2.0) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all secrets in code points, by start, then kind as listed; "random" ones touch no others."""
+def spans(text: str | None, path: str, ratio: float = 2.0, known: frozenset = frozenset()) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of all secrets in code points, by start, then kind as listed; "random" ones touch no others and are not known."""
     text, out = text or "", []
     if (":" in text or "=" in text) and _WORDY.search(text):
         out += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -65,29 +67,40 @@ def spans(text: str | None, path: str, ratio: float = 2.0) -> list[tuple[int, in
     for m in runs:
         out += [(*x.span(), "access") for x in ACCESS.finditer(text, *m.span()) if len(x[0]) >= 20]
         out += [(*x.span(), "hex") for x in HEX.finditer(text, *m.span())]
+    base = sorted(out)
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
     for m in runs:
         for x in _RUN.finditer(text, *m.span()):
             s, (a, b) = x[0], x.span()
-            if len(set(s)) < 8 or any(a < e and c < b for c, e, _ in out) or excluded(s, path, ratio):
+            before = bisect_left(starts, b)  # base spans that start before the run's end: touched if one of them ends after its start
+            if len(set(s)) < 8 or (before and reach[before - 1] > a) or s in known or excluded(s, path, ratio):
                 continue
             if len(s) / len(_encoding(path).encode_ordinary(s)) < ratio:
                 out.append((a, b, "random"))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def scan(docs: DataFrame, vocabulary: str, ratio: float = 2.0, text: str = "text") -> DataFrame:
-    """docs with `found`, an array of (start, end, kind); empty for null and empty texts."""
+def scan(docs: DataFrame, vocabulary: str, ratio: float = 2.0, text: str = "text", known: frozenset = frozenset()) -> DataFrame:
+    """docs with `found`, an array of (start, end, kind); empty for null and empty texts. known: strings that are no secrets, beside digests and identifiers.
+
+    Rows are scanned each, repeated ones too; a column `found` is replaced; an empty table gives none.
+    """
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in batches:
-            yield pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in spans(x, vocabulary, ratio)] for x in t], dtype=object)
+            yield pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in spans(x, vocabulary, ratio, known)] for x in t], dtype=object)
 
     return docs.withColumn("found", of(F.col(text)))
 
 
 def redact(docs: DataFrame, vocabulary: str, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span of `text` replaced by a mark (overlapping spans by one); other texts stay as they are."""
+    """docs with every found span of `text` replaced by a mark (overlapping spans by one); other texts, null ones too, stay as they are.
+
+    Every row stays, repeated ones too, with all its columns; an empty table gives none.
+    """
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -112,7 +125,12 @@ def vocabulary_path() -> str:
 
 
 def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, counts of base kinds, base_sha256, spans) of every row of docs(doc_id, text)."""
+    """(doc_id, counts of base kinds, base_sha256, spans) of every row of docs(doc_id, text).
+
+    Null and empty texts have none of each kind and the digest of an empty list; a null doc_id stays null; repeated rows
+    are scanned each; an empty table gives none.
+    """
+    text_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -129,4 +147,5 @@ def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """op9: digest() of the whole table documents; odd rows as defined there."""
     return digest(load(spark, sf_dir, "documents"), vocabulary_path())

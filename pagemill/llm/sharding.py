@@ -57,14 +57,17 @@ def splitters(keyed: DataFrame, targets: list[float], tolerance: float, rounds:
 
 
 def assign(docs: DataFrame, shards: int = 8, tolerance: float = 0.002) -> DataFrame:
-    """docs(doc_id, text) with size, key and shard: shards differ by about `tolerance` of their mean size.
+    """docs(doc_id, text, ...) with three columns after its own: size, key and shard; shards differ by about `tolerance` of their mean size.
 
     size is the UTF-8 bytes of the text plus 1; a null text counts as an empty one and shares its group. Repeated
-    rows count each. With fewer or larger texts than the tolerance allows, each splitter takes the nearer side.
+    rows count each. With fewer or larger texts than the tolerance allows, each splitter takes the nearer side. All
+    columns of docs stay: where one has the name of a new column, the new one gets underscores after it. An empty
+    table gives none.
     """
     text = F.coalesce("text", F.lit(""))
-    sized = docs.withColumns({"size": F.octet_length(text).cast("long") + 1, "key": _key(text)})
-    narrow = store(sized.select("doc_id", "key", "size"), "sizes")
+    size, key, shard, fixed = (fresh(n, docs.columns) for n in ("size", "key", "shard", "fixed"))
+    with_size = docs.withColumns({size: F.octet_length(text).cast("long") + 1, key: _key(text)})
+    narrow = store(with_size.select("doc_id", F.col(key).alias("key"), F.col(size).alias("size")), "sizes")
     total = narrow.agg(F.sum("size")).first()[0] or 0
     share = total / shards
     slack = max(1.0, tolerance * share)
@@ -80,34 +83,46 @@ def assign(docs: DataFrame, shards: int = 8, tolerance: float = 0.002) -> DataFr
             load[s] += b
             placed[k] = s
     spark = docs.sparkSession
-    special = F.broadcast(spark.createDataFrame([(k, -1) for k in spread] + list(placed.items()), "key long, fixed int"))
+    special = spark.createDataFrame([(k, -1) for k in spread] + list(placed.items()), "special_key long, special_fixed int")
 
-    def marked(df: DataFrame) -> DataFrame:
-        d = df.join(special, "key", "left")
-        return d.withColumn("key", F.when(F.col("fixed") == -1, _key("key", "doc_id")).otherwise(F.col("key")))
+    def marked(df: DataFrame, key: str, fixed: str) -> DataFrame:
+        d = df.join(F.broadcast(special), F.col(key) == F.col("special_key"), "left").select(*df.columns, F.col("special_fixed").alias(fixed))
+        return d.withColumn(key, F.when(F.col(fixed) == -1, _key(key, "doc_id")).otherwise(F.col(key)))
 
-    light = marked(narrow).where("fixed is null or fixed < 0").select("key", "size")
+    light = marked(narrow, "key", "fixed").where("fixed is null or fixed < 0").select("key", "size")
     room, targets = [share - x for x in load], []
     for r in room[:-1]:
         targets.append((targets[-1] if targets else 0) + r)
     cuts = splitters(light, targets, slack / 2)
-    shard = sum((F.when(F.col("key") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    return marked(sized).withColumn("shard", F.when(F.col("fixed") >= 0, F.col("fixed")).otherwise(shard).cast("int")).drop("fixed")
+    below = sum((F.when(F.col(key) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    out = marked(with_size, key, fixed).withColumn(shard, F.when(F.col(fixed) >= 0, F.col(fixed)).otherwise(below).cast("int"))
+    return out.select(*docs.columns, size, key, shard)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with as many underscores after it as make it new."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def slots(assigned: DataFrame) -> DataFrame:
-    """Rows exchanged once into the order of (shard, key), with slot, gapless from 0 in each shard."""
-    return numbered(assigned, ["shard"], ["key", "doc_id"], "slot", "placed", few_groups=True)
+    """Rows of an assigned table, whose last two columns are key and shard, exchanged once into their order, with slot, gapless from 0 in each shard."""
+    key, shard = assigned.columns[-2:]
+    return numbered(assigned, [shard], [key, "doc_id"], fresh("slot", assigned.columns), "placed", few_groups=True)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
     """All columns of docs, one folder per shard, in slot order within each file."""
-    slots(assign(docs, shards)).write.partitionBy("shard").parquet(path)
+    assigned = assign(docs, shards)
+    slots(assigned).write.partitionBy(assigned.columns[-1]).parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """op7: the whole table documents under the law `bytes`; odd rows as assign() defines."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    slim = assign(docs).select("doc_id", "size", "key", "shard", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
+    slim = assign(docs).select("doc_id", "size", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), "key", "shard")
     return slots(slim).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import load, store, text_batches
+
 #: Letters of other scripts that look like Latin ones, and digits or signs that stand for letters.
 LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
@@ -97,6 +99,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "sco
         for t in batches:
             yield pd.Series(score_texts(t, lexicon))
 
+    text_batches(docs.sparkSession)
     return docs.withColumn(out, scored(F.col(text)))
 
 
@@ -132,12 +135,13 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"pattern": part, "y": y, "texts": [docs[y][k] for k in part], "places": [places[y][k] for k in part]})
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 5000, max_patterns: int = 600) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 5000) -> Lexicon:
     """The fixed insults plus word stems and words that toxic texts use far more often, and the logistic scale.
 
     Learns from at most max_toxic and max_clean labelled rows (a bounded sample, by a hash of doc_id) whose doc_id
     is not held out; doc_id, lang, source and the labels are no inputs of a score. Rows with null doc_id, label or
-    conflicting labels teach nothing. With no toxic or no clean row the fixed lexicon and scale are returned.
+    conflicting labels teach nothing. With no toxic or no clean row the fixed lexicon and scale are returned. Every
+    pattern that passes the tests is kept: that bounded sample alone bounds them.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -149,9 +153,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean:
     if not len(ids) or ids["y"].nunique() < 2:
         return Lexicon()
     spark = docs.sparkSession
-    few = F.broadcast(spark.createDataFrame(ids.astype({"doc_id": "int64", "y": "int64"}), "doc_id long, y long"))
-    from .common import store
-
+    few = F.broadcast(spark.createDataFrame(list(ids.itertuples(index=False, name=None)), known.schema))  # ids of any type
+    text_batches(spark)
     sample = store(docs.select("doc_id", "text").join(few, "doc_id").select("text", "y"), "labelled")
     counts = store(
         sample.mapInPandas(_counted, "pattern string, y int, texts long, places long")
@@ -167,10 +170,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean:
     sure = 2 * math.log(max(2, frequent.count()))  # so that chance alone is expected to pass about one pattern of all tried
     rate1, rate0 = (F.col("places1") + 0.1) / base["places1"], (F.col("places0") + 0.5) / base["places0"]
     rows = (
-        frequent.where(F.col("g2") >= sure).withColumn("w", F.log(rate1 / rate0)).where("w >= 1.8")
-        .orderBy(F.desc(F.col("w") * F.col("places1")), "pattern").limit(20 * max_patterns).collect()
+        frequent.where(F.col("g2") >= sure).withColumn("w", F.log(rate1 / rate0)).where("w >= 1.8").collect()
     )
-    lexicon = Lexicon(weights={f" {w} ": x for w, x in INSULTS.items()} | chosen(rows, max_patterns))
+    lexicon = Lexicon(weights={f" {w} ": x for w, x in INSULTS.items()} | chosen(rows))
     seen = sample.select("y", _density_udf(lexicon)(F.col("text")).alias("x")).toPandas()  # two numbers of each sampled row
     weight = {y: total[y] / max(1, (seen["y"] == y).sum()) for y in (0, 1)}
     bias, slope = _logistic(np.log1p(seen["x"].to_numpy("f8")), seen["y"].to_numpy("f8"), seen["y"].map(weight).to_numpy("f8"))
@@ -187,15 +189,14 @@ def g2(n1: int, n0: int) -> Column:
     return 2 * x
 
 
-def chosen(rows, max_patterns: int) -> dict[str, float]:
+def chosen(rows) -> dict[str, float]:
     """Of stems that are prefixes of each other, those whose weight no shorter one reaches but for 15 %."""
     best: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["pattern"]), r["pattern"])):
         p, w = r["pattern"], r["w"]
         if not any(best.get(p[:k], 0) >= 0.85 * w for k in range(5, len(p))):
             best[p] = w
-    gain = {r["pattern"]: r["w"] * r["places1"] for r in rows}
-    return dict(sorted(best.items(), key=lambda x: (-gain[x[0]], x[0]))[:max_patterns])
+    return dict(sorted(best.items()))
 
 
 def _density_udf(lexicon: Lexicon):
@@ -222,13 +223,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.5) -
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Every row of docs with held_out, score and predicted."""
+    """Every row of docs with held_out, score and predicted (columns of these names are replaced).
+
+    Null, empty and wordless texts get the score of density 0; a null doc_id is held out; repeated rows are scored
+    each; an empty table gives none.
+    """
     scored = score(docs.drop("held_out", "score", "predicted"), learn(docs, labels))
     return scored.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int")})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .common import load
-
+    """op4: classify() of the whole table documents, learnt from labels; odd rows as defined there."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return classify(docs, load(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
