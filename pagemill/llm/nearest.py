@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Every curve turns the vectors by its own random rotation, keeps a few coordinates, shifts them and orders them along
-a Hilbert curve; Spark range-partitions each order. The neighbours of a query on any curve are its candidates, scored
-exactly. Equal vectors share one place in the orders and are expanded at the end, so copies crowd nothing out.
+a Hilbert curve. Each order is cut into cells of equal shares of the rows by the quantiles of its keys, so that Spark
+range-partitions it by cell without a sort of the whole. A query meets the rows of the cells around its own: they
+travel as codes of 4 bits a component, a shortlist by the codes is merged over the curves, and reranked by the vectors
+themselves. Equal vectors are one row until the end, so copies crowd nothing out.
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, numbered, store
+from .common import load, meet, store
 
-CURVES, DIMS, LEVELS = 16, 10, 3
-#: Rows of a curve that one task scores at once, and queries that meet them at most.
-BLOCK, REACH = 2048, 8
-#: Share of all rows on each side of a query that a curve's window holds.
-WINDOW = 0.05
+CURVES, DIMS, LEVELS = 16, 6, 4
+#: Cells of a curve in a block, which is what one task scores; rows of a block at most, beyond which its rows are dealt over several tasks; cells of a curve at least and at most.
+BLOCK_CELLS, BLOCK_ROWS, CELLS = 16, 16_384, (256, 65_536)
+#: Share of all rows on each side of a query that a curve's window holds, and rows that it holds at least.
+WINDOW, WINDOW_ROWS = 0.03, 256
+#: Rows that go on from a window to the exact scores, for each one asked for.
+SHORTLIST = 3
 
 
 def hilbert(x: np.ndarray, levels: int = LEVELS) -> np.ndarray:
@@ -50,14 +54,32 @@ def hilbert(x: np.ndarray, levels: int = LEVELS) -> np.ndarray:
     return key
 
 
-def curve_keys(v: np.ndarray, curve: int, scale: float) -> np.ndarray:
-    """Keys of unit vectors v on a curve; its rotation and shift follow from its number alone."""
+def curve_keys(unit: np.ndarray, curve: int) -> np.ndarray:
+    """Keys of unit vectors on a curve; its rotation and shift follow from its number alone.
+
+    A coordinate is brought to even shares of its range by the distribution it has for vectors without direction.
+    """
+    d = unit.shape[1]
     rng = np.random.default_rng(7919 + curve)
-    dims = min(DIMS, v.shape[1])
-    turn = np.linalg.qr(rng.normal(size=(v.shape[1], v.shape[1])))[0][:, :dims]
-    cells = 1 << LEVELS
-    x = (v @ turn) / (8 * scale) * cells + cells / 2 + rng.uniform(-0.5, 0.5, dims)
-    return hilbert(np.clip(np.floor(x), 0, cells - 1))
+    dims, cells = min(DIMS, d), 1 << LEVELS
+    turn = np.linalg.qr(rng.normal(size=(d, d)))[0][:, :dims]
+    share = 1 / (1 + np.exp(-1.702 * np.sqrt(d) * (unit @ turn)))
+    return hilbert(np.clip(np.floor(share * cells + rng.uniform(-0.5, 0.5, dims)), 0, cells - 1))
+
+
+def codes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of 4 bits a component, two to a byte, and the length of a step: v is about (code - 7.5) * step."""
+    step = np.maximum(np.abs(v).max(axis=1), 1e-300) / 7.5
+    n = np.clip(np.floor(v / step[:, None] + 8), 0, 15).astype("u1")
+    if n.shape[1] % 2:
+        n = np.concatenate([n, np.full((len(n), 1), 8, "u1")], axis=1)
+    return n[:, ::2] << 4 | n[:, 1::2], step
+
+
+def decoded(packed: np.ndarray, step: np.ndarray, d: int) -> np.ndarray:
+    n = np.empty((len(packed), packed.shape[1] * 2), "f4")
+    n[:, ::2], n[:, 1::2] = packed >> 4, packed & 15
+    return (n[:, :d] - np.float32(7.5)) * step[:, None].astype("f4")
 
 
 def usable(v: Column) -> Column:
@@ -66,78 +88,107 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, window: float = WINDOW, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, window: float = WINDOW, block: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest inner products of each query with all other rows found.
 
     Queries are the rows whose vec_id is divisible by `every`. Rows with a null vec_id, and vectors that are null,
     zero, not finite, or not of the commonest length (ties: the shorter), take no part. Of repeated ids with equal
-    vectors one counts. Ties go to the smaller vec_id. An empty table gives no rows.
-
-    Fewer than k rows within reach cannot be: a window holds at least a whole block on each side.
+    vectors one counts. Ties go to the smaller vec_id. An empty table gives no rows. A window holds
+    WINDOW_ROWS on each side at least, so a small table is met whole.
     """
     spark = vectors.sparkSession
     good = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     length = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").select("d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if length is None:
-        return spark.createDataFrame([], schema)
-    good = good.where(F.size("embedding") == length["d"]).select(F.col("vec_id").cast("long"), F.col("embedding").alias("v"))
-    # A row per distinct vector: its smallest k + 1 ids are all that any query can be given, and the ids of its queries.
-    with_part = good.withColumn("vkey", F.xxhash64("v"))
-    ids = with_part.groupBy("vkey", "v", "vec_id").count().drop("count")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    d = length["d"]
+    good = good.where(F.size("embedding") == d).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).withColumns({"rep": F.xxhash64("v"), "check": F.xxhash64("v", F.lit(1))})
+    # A row per distinct vector; copies are collapsed before anything is exchanged. Two hashes of 64 bits stand for a vector.
+    reps = store(good.groupBy("rep", "check").agg(F.first("v").alias("v")).drop("check"), "vectors")
+    # The smallest k + 1 ids of a vector are all that any query can be given.
+    ids = good.groupBy("rep", "vec_id").agg(F.lit(1).alias("one")).drop("one")
     salted = ids.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    by = Window.partitionBy("vkey", "v", "salt").orderBy("vec_id")
-    few = salted.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)  # at most 64 (k + 1) ids a vector go on
-    members = few.groupBy("vkey", "v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    members = store(members.withColumn("rep", F.element_at("ids", 1)), "vectors")
-    asked = store(
-        ids.where(F.pmod("vec_id", F.lit(every)) == 0).join(members.select("vkey", "v", "rep"), ["vkey", "v"]).select("vec_id", "rep"), "asked"
-    )
+    few = salted.withColumn("n", F.row_number().over(Window.partitionBy("rep", "salt").orderBy("vec_id"))).where(F.col("n") <= k + 1)  # at most 64 (k + 1) ids a vector go on
+    members = store(few.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids")), "members")
+    asked = store(ids.where(F.pmod("vec_id", F.lit(every)) == 0), "asked")
+    asking = store(asked.select("rep").distinct().withColumn("asks", F.lit(True)), "asking")
     n = members.count()
-    scale = float(np.sqrt(1 / length["d"]))
+    least, most = CELLS
+    cells = int(min(most, max(least, 1 << int(np.ceil(np.log2(max(1, n * BLOCK_CELLS / block)))))))
+    reach = int(max(window, WINDOW_ROWS / max(1, n)) * cells)
+    deal = max(1, int(np.ceil(n * BLOCK_CELLS / cells / block)))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            v = np.stack(pdf["v"].to_numpy()).astype("f8") if len(pdf) else np.zeros((0, length["d"]))
-            unit = v / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(v).max(axis=1, keepdims=True)
+            if not len(pdf):
+                continue
+            v = np.stack(pdf["v"].to_numpy()).astype("f8")
+            most = np.abs(v).max(axis=1, keepdims=True)
+            unit = v / most / np.linalg.norm(v / most, axis=1, keepdims=True)
+            packed, step = codes(v)
+            own = pd.DataFrame({"rep": pdf["rep"], "asks": pdf["asks"], "code": [x.tobytes() for x in packed], "step": step.astype("f4")})
             for c in range(curves):
-                yield pd.DataFrame({"curve": np.int32(c), "key": curve_keys(unit, c, scale), "rep": pdf["rep"].to_numpy()})
-
-    ordered = members.select("rep", "v").mapInPandas(keyed, "curve int, key long, rep long")
-    placed = numbered(ordered, ["curve"], ["key", "rep"], "place", "curves", few_groups=True)
-    placed = placed.select("curve", "rep", F.expr(f"place div {block}L").alias("block")).join(members.select("rep", "v"), "rep")
-    reach = max(1, int(np.ceil(window * n / block)))
-    last = max(0, (n - 1) // block)
-    # Queries visit the blocks around their own; a block serves them in chunks of REACH blocks of queries.
-    chunk = F.expr(f"(block - home + {reach}) div {REACH}")
-    queries = placed.join(asked.select("rep").distinct(), "rep", "left_semi").withColumnRenamed("block", "home")
-    queries = queries.withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0), F.col("home") - reach), F.least(F.lit(last), F.col("home") + reach))))
-    queries = queries.select("curve", "block", chunk.alias("chunk"), F.lit(True).alias("asks"), "rep", "v")
-    chunks = (2 * reach) // REACH
-    rows = placed.select("curve", "block", F.explode(F.expr(f"sequence(0L, {chunks}L)")).alias("chunk"), F.lit(False).alias("asks"), "rep", "v")
+                yield own.assign(curve=np.int8(c), key=curve_keys(unit, c))
+
+    ordered = meet(reps, asking, ["rep"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    ordered = store(ordered.mapInPandas(keyed, "rep long, asks boolean, code binary, step float, curve byte, key int"), "curves")
+    # At most CURVES x CELLS numbers, from all rows.
+    cuts = {r["curve"]: np.array(r["q"], "i8") for r in ordered.groupBy("curve").agg(F.percentile_approx("key", [i / cells for i in range(1, cells)], 4 * cells).alias("q")).collect()}
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows in the block of their cell, and queries in every block that their window touches; equal keys are dealt over the cells that share them."""
+        for pdf in batches:
+            curve, key, rep = pdf["curve"].to_numpy(), pdf["key"].to_numpy("i8"), pdf["rep"].to_numpy("i8")
+            lo, hi = np.zeros(len(pdf), "i8"), np.zeros(len(pdf), "i8")
+            for c in np.unique(curve):
+                at = curve == c
+                lo[at], hi[at] = np.searchsorted(cuts[c], key[at], "left"), np.searchsorted(cuts[c], key[at], "right")
+            pdf["cell"] = lo + (rep % (hi - lo + 1))
+            pdf["deal"] = (rep >> 20) % deal
+            rows = pdf.assign(asks=False, block=pdf["cell"] // BLOCK_CELLS)
+            yield rows[["curve", "block", "deal", "asks", "cell", "rep", "code", "step"]]
+            q = pdf[pdf["asks"]]
+            a, z = np.maximum(0, q["cell"] - reach) // BLOCK_CELLS, np.minimum(cells - 1, q["cell"] + reach) // BLOCK_CELLS
+            times = (z - a + 1).to_numpy()
+            q = q.loc[q.index.repeat(times)].assign(block=np.repeat(a.to_numpy(), times) + np.concatenate([np.arange(t) for t in times] or [np.zeros(0, "i8")]))
+            for part in range(deal):
+                yield q.assign(deal=part)[["curve", "block", "deal", "asks", "cell", "rep", "code", "step"]]
 
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy()
-        q, x = pdf[asks], pdf[~asks]
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_rep": [], "rep": [], "score": []})
-        s = np.stack(q["v"].to_numpy()).astype("f8") @ np.stack(x["v"].to_numpy()).astype("f8").T
-        take = min(k + 1, s.shape[1])
-        best = np.argsort(-s, axis=1, kind="stable")[:, :take] if s.shape[1] <= take else np.argpartition(-s, take - 1, axis=1)[:, :take]
-        low = s[np.arange(len(s))[:, None], best].min(axis=1)
-        i, j = np.nonzero(s >= low[:, None])  # with all ties
-        return pd.DataFrame({"query_rep": q["rep"].to_numpy()[i], "rep": x["rep"].to_numpy()[j], "score": s[i, j]})
-
-    found = queries.unionByName(rows).groupBy("curve", "block", "chunk").applyInPandas(scored, "query_rep long, rep long, score double")
-    found = found.groupBy("query_rep", "rep").agg(F.max("score").alias("score"))
-    top = Window.partitionBy("query_rep").orderBy(F.desc("score"), "rep")
-    found = found.withColumn("n", F.rank().over(Window.partitionBy("query_rep").orderBy(F.desc("score")))).where(F.col("n") <= k + 1)
-    found = found.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1).drop("n")
-    each = asked.withColumnsRenamed({"vec_id": "query_id", "rep": "query_rep"}).join(found, "query_rep")
-    each = each.join(members.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        """The shortlist of every query over one block of one curve."""
+        asks, want = pdf["asks"].to_numpy(), SHORTLIST * k
+        v = decoded(np.frombuffer(b"".join(pdf["code"]), "u1").reshape(len(pdf), -1), pdf["step"].to_numpy(), d)
+        cell, rep = pdf["cell"].to_numpy(), pdf["rep"].to_numpy("i8")
+        q, x, out = np.flatnonzero(asks), np.flatnonzero(~asks), []
+        order = np.argsort(cell[x], kind="stable")
+        x = x[order]
+        for c in np.unique(cell[q]):  # queries of one cell have one window, which is one run of rows
+            mine = q[cell[q] == c]
+            run = x[np.searchsorted(cell[x], c - reach, "left") : np.searchsorted(cell[x], c + reach, "right")]
+            if len(run):
+                s = v[mine] @ v[run].T
+                best = np.argpartition(-s, want - 1, axis=1)[:, :want] if len(run) > want else np.broadcast_to(np.arange(len(run)), s.shape)
+                out.append(pd.DataFrame({"query_rep": np.repeat(rep[mine], best.shape[1]), "rep": rep[run][best].ravel(), "near": np.take_along_axis(s, best, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"query_rep": [], "rep": [], "near": []})
+
+    dealt = ordered.mapInPandas(placed, "curve byte, block long, deal long, asks boolean, cell long, rep long, code binary, step float")
+    found = dealt.groupBy("curve", "block", "deal").applyInPandas(scored, "query_rep long, rep long, near float")
+    found = found.groupBy("query_rep", "rep").agg(F.max("near").alias("near"))
+    short = found.withColumn("n", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc("near"), "rep"))).where(F.col("n") <= SHORTLIST * k).select("query_rep", "rep")
+    # Exact scores of the shortlists; the query itself is among them where its vector has copies.
+    ask_v = store(meet(reps, asking, ["rep"], "left_semi").select(F.col("rep").alias("query_rep"), F.col("v").alias("q")), "queries")
+    short = store(short, "shortlist")
+    pairs = meet(short.join(reps, "rep"), ask_v, ["query_rep"])
+    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    exact = pairs.select("query_rep", "rep", dot.alias("score"))
+    by = Window.partitionBy("query_rep").orderBy(F.desc("score"))
+    top = exact.withColumn("n", F.rank().over(by)).where(F.col("n") <= k + 1).drop("n")
+    each = asked.withColumnsRenamed({"vec_id": "query_id", "rep": "query_rep"}).join(top, "query_rep")
+    each = each.join(members, "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """op5: nearest() over the whole table embeddings; odd rows as defined there."""
     return nearest(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
