@@ -24,6 +24,15 @@ def non_latin(text: Column) -> Column:
     return text.rlike(r"[^\x00-\x7F]")
 
 
+#: Recogniser languages that are written without spaces or in squares.
+CJK = ("kor", "jpn", "jpn_vert", "chi_sim", "chi_tra")
+
+
+def cjk(language: Column) -> Column:
+    """Whether a page's language is one of CJK; a null one is not."""
+    return F.coalesce(language.isin(*CJK), F.lit(False))
+
+
 def contains_ascii(text: Column, part: str) -> Column:
     """LIKE '%part%' that folds A-Z only; % and _ in part are wildcards."""
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import contains_ascii, file_age, file_size
 from ..sources import tables as T
+from ..sources.files import content, files
 from ..sources.tables import NOW, oracle
 
 
 def with_tags(docs: DataFrame, links: DataFrame, tags: DataFrame) -> DataFrame:
     """docs with the names and colours of their tags, in the order of tag ids; null without tags."""
-    t = links.join(F.broadcast(tags.withColumnRenamed("id", "tag_id")), "tag_id").groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("tag_id", "name", "color"))).alias("t"))
+    t = links.join(tags.withColumnRenamed("id", "tag_id"), "tag_id").groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("tag_id", "name", "color"))).alias("t"))
     out = docs.join(t, docs["id"] == t["document_id"], "left").drop("document_id")
     return out.withColumns({"tag_names": F.array_join("t.name", ","), "tag_colors": F.array_join("t.color", ",")}).drop("t")
 
@@ -40,10 +41,45 @@ def latest(log: DataFrame, key: list[str], order: list[str], value: str) -> Data
 def delete_project(docs: DataFrame, projects: DataFrame, root: int) -> tuple[DataFrame, DataFrame]:
     """Projects without the subtree; documents in it lose their project."""
     gone = subtree(projects, root).select("id")
-    d = docs.join(F.broadcast(gone.select(F.col("id").alias("gone_id"))), F.col("project_id") == F.col("gone_id"), "left")
+    d = docs.join(gone.select(F.col("id").alias("gone_id")), F.col("project_id") == F.col("gone_id"), "left")
     return projects.join(gone, "id", "left_anti"), d.withColumn("project_id", F.when(F.col("gone_id").isNull(), F.col("project_id"))).drop("gone_id")
 
 
+def delete_documents(gone: DataFrame, docs: DataFrame, links: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, tag links and cached pages without those of gone(id)."""
+    of = gone.select(F.col("id").alias("document_id"))
+    return docs.join(gone.select("id"), "id", "left_anti"), links.join(of, "document_id", "left_anti"), cache.join(of, "document_id", "left_anti")
+
+
+def delete_tag(tag: int, tags: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tags and links without a tag."""
+    return tags.where(F.col("id") != tag), links.where(F.col("tag_id") != tag)
+
+
+def insert(table: DataFrame, new: DataFrame, defaults: dict) -> DataFrame:
+    """table with the rows of new(name, ...) under the next free ids, by name; empty texts become null, then the default of their column.
+
+    new is what users type at a time: its rows are numbered in one task.
+    """
+    last = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_"))
+    filled = new.select(*(F.coalesce(F.nullif(c, F.lit("")), F.lit(defaults.get(c)).cast(t)).alias(c) if t == "string" else F.col(c) for c, t in new.dtypes))
+    own = filled.withColumn("n_", F.row_number().over(Window.orderBy("name"))).crossJoin(last).withColumn("id", (F.col("last_") + F.col("n_")).cast("long"))
+    return table.unionByName(own.drop("n_", "last_"), allowMissingColumns=True)
+
+
+def two_levels(memory: DataFrame, stored: DataFrame) -> DataFrame:
+    """(document_id, page, payload, in_memory): of pages in either table, what memory holds, else what is stored."""
+    key = ["document_id", "page"]
+    j = stored.withColumnRenamed("payload", "stored").join(memory.select(*key, F.col("payload").alias("held"), F.lit(True).alias("in_memory")), key, "full")
+    return j.select(*key, F.coalesce("held", "stored").alias("payload"), F.coalesce("in_memory", F.lit(False)).alias("in_memory"))
+
+
+def compatible(cache: DataFrame, language: str, dpi: int, psm: int | None = None) -> DataFrame:
+    """Cached pages that a run with these options may use; without psm any segmentation mode does."""
+    same = (F.col("language") == language) & (F.col("dpi") == dpi)
+    return cache.where(same if psm is None else same & (F.col("psm") == psm))
+
+
 def patch(docs: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
     """changes(id, has_c, c, ...): columns whose has_ flag is set take the new value, null included."""
     c = changes.select("id", *(F.col(f"has_{x}") for x in columns), *(F.col(x).alias(f"new_{x}") for x in columns))
@@ -80,8 +116,22 @@ def _few(docs: DataFrame, s, d) -> DataFrame:
 
 _q("scan_tags", "SELECT id, name, color FROM tags ORDER BY name", "tags")(lambda s, d: T.tags(s).orderBy("name"))
 _q("scan_projects", "SELECT id, name, parent_id FROM projects ORDER BY name", "projects")(lambda s, d: T.projects(s).orderBy("name"))
-_q("doc_by_path", f"SELECT {_ALL} FROM lib WHERE filepath = '/lib/src3/3.pdf' LIMIT 1", "lib")(lambda s, d: T.documents(s, d).where("filepath = '/lib/src3/3.pdf'").limit(1))
-_q("doc_by_id", f"SELECT {_ALL} FROM lib WHERE id = 42", "lib")(lambda s, d: T.documents(s, d).where("id = 42").limit(1))
+
+
+def _by_id(s, d, id_: int) -> DataFrame:
+    """The id is a column of the stored table, moved by one: the filter reaches the scan."""
+    return T.documents(s, d, T.table(s, d, "documents").where(F.col("doc_id") == id_ - 1)).limit(1)
+
+
+def _by_path(s, d, path: str) -> DataFrame:
+    """A path holds the document's number, which reaches the scan; the whole path is compared after it."""
+    number = path.rsplit("/", 1)[-1].removesuffix(".pdf")
+    rows = T.table(s, d, "documents").where(F.col("doc_id") == int(number)) if number.isdigit() else T.table(s, d, "documents").where("false")
+    return T.documents(s, d, rows).where(F.col("filepath") == path).limit(1)
+
+
+_q("doc_by_path", f"SELECT {_ALL} FROM lib WHERE filepath = '/lib/src3/3.pdf' LIMIT 1", "lib")(lambda s, d: _by_path(s, d, "/lib/src3/3.pdf"))
+_q("doc_by_id", f"SELECT {_ALL} FROM lib WHERE id = 42", "lib")(lambda s, d: _by_id(s, d, 42))
 _q("docs_recent", _TAGGED + " ORDER BY last_accessed DESC, id LIMIT 20", "lib tags dt")(lambda s, d: _few(T.documents(s, d).orderBy(F.desc("last_accessed"), "id").limit(20), s, d))
 _q("recent_visible", f"SELECT * FROM (SELECT {_ALL} FROM lib ORDER BY last_accessed DESC, id LIMIT 50) WHERE NOT starts_with(filepath, 'virtual://')", "lib")(
     lambda s, d: T.documents(s, d).orderBy(F.desc("last_accessed"), "id").limit(50).where("not startswith(filepath, 'virtual://')")
@@ -102,7 +152,7 @@ _q("project_children", "SELECT id, name, parent_id FROM projects WHERE parent_id
 _q("project_tree", "SELECT p.id, CASE WHEN p.id = 1 THEN 0 WHEN p.parent_id = 1 THEN 1 ELSE 2 END AS depth FROM projects p LEFT JOIN projects q ON p.parent_id = q.id WHERE 1 IN (p.id, p.parent_id, q.parent_id)", "projects")(lambda s, d: subtree(T.projects(s), 1))
 for _key, _sql in (("name", "filename"), ("date", "last_accessed"), ("size", "file_size"), ("type", "file_type")):
     for _dir in ("asc", "desc"):
-        _q(f"docs_sorted_{_key}_{_dir}", f"SELECT {_ALL} FROM lib ORDER BY {_sql} {_dir}, id", "lib")(lambda s, d, c=_sql, a=_dir == "asc": T.documents(s, d).orderBy(F.col(c).asc() if a else F.col(c).desc(), "id"))
+        _q(f"docs_sorted_{_key}_{_dir}", f"SELECT {_ALL} FROM lib ORDER BY {_sql} {_dir}, id", "lib")(lambda s, d, c=_sql, a=_dir == "asc": T.documents(s, d).orderBy((x := F.collate(c, "UNICODE") if c in ("filename", "file_type") else F.col(c)).asc() if a else x.desc(), "id"))
 _q("valid_inputs", "SELECT doc_id, coalesce(length(text) BETWEEN 1 AND 9999, false) AS ok_text, coalesce(n_chars >= 0, false) AS ok_number FROM documents")(
     lambda s, d: T.table(s, d, "documents").select("doc_id", F.coalesce(F.length("text").between(1, 9999), F.lit(False)).alias("ok_text"), F.coalesce(F.col("n_chars") >= 0, F.lit(False)).alias("ok_number"))
 )
@@ -115,9 +165,11 @@ _q("ocr_cache_get", "SELECT document_id, page, arg_max(payload, (ts, event_id))
 _q("ocr_cache_upsert", "SELECT document_id, page, payload FROM (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY ts DESC, event_id DESC) AS r FROM log) WHERE r = 1", "log")(
     lambda s, d: latest(T.cache_log(s, d), ["document_id", "page"], ["ts", "event_id"], "payload")
 )
-_q("cache_compatible", "SELECT event_id FROM log WHERE language = 'eng' AND dpi = 200", "log")(lambda s, d: T.cache_log(s, d).where("language = 'eng' and dpi = 200").select("event_id"))
-_q("ocr_two_level_cache", "SELECT document_id, page, coalesce(max(payload) FILTER (ts_r = 1 AND event_id % 2 = 0), max(payload) FILTER (ts_r = 1)) AS payload, bool_or(ts_r = 1 AND event_id % 2 = 0) AS in_memory FROM (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY ts DESC, event_id DESC) AS ts_r FROM log) GROUP BY ALL", "log")(
-    lambda s, d: T.cache_log(s, d).groupBy("document_id", "page").agg(F.max_by(F.struct("payload", "event_id"), F.struct("ts", "event_id")).alias("db")).select("document_id", "page", F.coalesce(F.when(F.expr("db.event_id % 2 = 0"), F.col("db.payload")), F.col("db.payload")).alias("payload"), F.expr("db.event_id % 2 = 0").alias("in_memory"))
+_q("cache_compatible", "SELECT event_id, psm IS NOT NULL AND psm = 3 AS same_psm FROM log WHERE language = 'eng' AND dpi = 200", "log")(
+    lambda s, d: compatible(T.cache_log(s, d), "eng", 200).select("event_id").join(compatible(T.cache_log(s, d), "eng", 200, 3).select("event_id", F.lit(True).alias("same")), "event_id", "left").select("event_id", F.coalesce("same", F.lit(False)).alias("same_psm"))
+)
+_q("ocr_two_level_cache", "SELECT document_id, page, coalesce(arg_max(payload, (ts, event_id)) FILTER (event_id % 4 = 0), arg_max(payload, (ts, event_id)) FILTER (event_id % 3 > 0)) AS payload, bool_or(event_id % 4 = 0) AS in_memory FROM log WHERE event_id % 4 = 0 OR event_id % 3 > 0 GROUP BY ALL", "log")(
+    lambda s, d: two_levels(*(latest(T.cache_log(s, d).where(w), ["document_id", "page"], ["ts", "event_id"], "payload") for w in ("event_id % 4 = 0", "event_id % 3 > 0")))
 )
 
 
@@ -133,8 +185,21 @@ _q("tag_link_insert", "SELECT document_id, tag_id FROM dt UNION SELECT id, 2 FRO
 _q("tag_unlink", "SELECT * FROM dt WHERE NOT (document_id % 5 = 0 AND tag_id = 1)", "dt")(
     lambda s, d: T.document_tags(s, d).join(T.document_tags(s, d).where("document_id % 5 = 0 and tag_id = 1"), ["document_id", "tag_id"], "left_anti")
 )
-_q("project_create", "SELECT 21::BIGINT AS id, 'New' AS name, '📁' AS icon, '#6366f1' AS color, NULL::VARCHAR AS description")(
-    lambda s, d: s.createDataFrame([("New", "", "", "")], "name string, icon string, color string, description string").select(F.lit(21).cast("long").alias("id"), "name", F.coalesce(F.nullif("icon", F.lit("")), F.lit("📁")).alias("icon"), F.coalesce(F.nullif("color", F.lit("")), F.lit("#6366f1")).alias("color"), F.nullif("description", F.lit("")).alias("description"))
+_new = lambda s, d, *cols: T.table(s, d, "customer").select(F.col("c_mktsegment").alias("name")).distinct().select("name", *cols)
+_even = lambda: F.length("name") % 2 == 0
+_q("project_create", "SELECT id, name, parent_id, NULL AS icon, NULL AS description FROM projects UNION ALL SELECT 20 + row_number() OVER (ORDER BY name), name, NULL, CASE WHEN length(name) % 2 = 0 THEN '📗' ELSE '📁' END, NULL FROM (SELECT DISTINCT c_mktsegment AS name FROM customer)", "projects")(
+    lambda s, d: insert(T.projects(s), _new(s, d, F.when(_even(), "📗").otherwise("").alias("icon"), F.lit("").alias("description")), {"icon": "📁"})
+)
+_q("tag_create", "SELECT * FROM tags UNION ALL SELECT 6 + row_number() OVER (ORDER BY name), name, CASE WHEN length(name) % 2 = 0 THEN '#000000' ELSE '#6366f1' END FROM (SELECT DISTINCT c_mktsegment AS name FROM customer)", "tags")(
+    lambda s, d: insert(T.tags(s), _new(s, d, F.when(_even(), "#000000").otherwise("").alias("color")), {"color": "#6366f1"})
+)
+_gone = lambda s, d: T.documents(s, d).where("id % 10 = 0").select("id")
+_q("delete_document_cascade", "SELECT 'document' AS kind, count(*) AS n, sum(id)::BIGINT AS ids FROM lib WHERE id % 10 <> 0 UNION ALL SELECT 'link', count(*), sum(document_id)::BIGINT FROM dt WHERE document_id % 10 <> 0 UNION ALL SELECT 'page', count(*), sum(document_id)::BIGINT FROM (SELECT DISTINCT document_id, page FROM log WHERE document_id % 10 <> 0 OR document_id NOT IN (SELECT id FROM lib))", "lib dt log")(
+    lambda s, d: (left := delete_documents(_gone(s, d), T.documents(s, d), T.document_tags(s, d), T.cache_log(s, d).select("document_id", "page").distinct()))[0].agg(F.lit("document").alias("kind"), F.count("*").alias("n"), F.sum("id").alias("ids"))
+    .unionByName(left[1].agg(F.lit("link").alias("kind"), F.count("*").alias("n"), F.sum("document_id").alias("ids"))).unionByName(left[2].agg(F.lit("page").alias("kind"), F.count("*").alias("n"), F.sum("document_id").alias("ids")))
+)
+_q("delete_tag_cascade", "SELECT document_id, tag_id, name FROM dt JOIN tags ON id = tag_id WHERE tag_id <> 3", "dt tags")(
+    lambda s, d: (left := delete_tag(3, T.tags(s), T.document_tags(s, d)))[1].join(left[0].withColumnRenamed("id", "tag_id"), "tag_id").select("document_id", "tag_id", "name")
 )
 _q("doc_patch", f"SELECT {_ALL.replace('project_id', 'CASE WHEN id % 10 = 0 THEN NULL ELSE project_id END AS project_id').replace('is_favorite', 'CASE WHEN id % 15 = 0 THEN 1 ELSE is_favorite END AS is_favorite')} FROM lib", "lib")(
     lambda s, d: patch(T.documents(s, d), T.documents(s, d).where("id % 5 = 0").select("id", F.expr("id % 10 = 0").alias("has_project_id"), F.lit(None).cast("long").alias("project_id"), F.expr("id % 15 = 0").alias("has_is_favorite"), F.lit(1).alias("is_favorite")), ["project_id", "is_favorite"])
@@ -161,6 +226,7 @@ _q("chunk_plan", "SELECT id, c AS chunk, c * 3800 AS y0, least(h, c * 3800 + 400
 )
 
 
+#: Fixed value: the text of a request.
 def _prompts(s, d):
     c = T.table(s, d, "conversations").where("text is not null and text <> ''")
     kind = F.when(F.col("role") == "user", "balloon").otherwise("text")
@@ -168,6 +234,4 @@ def _prompts(s, d):
 
 
 _q("translate_requests", """SELECT conv_id, turn, 'Translate this text: "' || text || '" (Type: ' || CASE role WHEN 'user' THEN 'balloon' ELSE 'text' END || ')' AS prompt, 8000 AS last_wait_ms FROM conversations WHERE text <> ''""")(_prompts)
-_q("file_source_meta", None)(
-    lambda s, d: s.read.format("binaryFile").load(f"{d}/region.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.when(F.lower("path").endswith(".pdf"), "application/pdf").when(F.lower("path").endswith(".png"), "image/png").when(F.lower("path").rlike(r"\.jpe?g$"), "image/jpeg").otherwise("application/octet-stream").alias("mime"), F.md5(F.base64("content").cast("binary")).alias("base64_md5"))
-)
+_q("file_source_meta", None)(lambda s, d: files(s, d, "*n.parquet").select("name", "size", "mime_type", F.md5("data").alias("base64_md5"), F.sha2(content(F.col("data")), 256).alias("sha256")))

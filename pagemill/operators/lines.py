@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import alnum, non_latin, upper_median
+from ..functions.semantics import alnum, cjk, js_number, non_latin, upper_median
 from ..sources import tables as T
 from ..sources.tables import LINE, PAGE_H, PAGE_W, oracle
 
@@ -19,34 +19,61 @@ RESCAN_LINES, RESCAN_BELOW = (2, 4), (0.55, 0.62)
 
 
 def parse_tsv(pages: DataFrame) -> DataFrame:
-    """Rows of recogniser output: level, line_no, word_no, box, conf, text. Rows of fewer than 12 columns and the header go; tabs in texts stay."""
+    """Rows of recogniser output: level, block_no, par_no, line_no, word_no, box, conf, text.
+
+    line_no holds the block and the paragraph too, in whose lines numbers start again. Rows of fewer than 12 columns and
+    the header go; tabs in texts stay; a confidence keeps its fraction.
+    """
     rows = pages.select(*PAGE, F.explode(F.filter(F.split("tsv", "\n"), lambda x: F.trim(x) != "")).alias("r"))
     c = F.split("r", "\t", -1)
     rows = rows.where((F.size(c) >= 12) & ~F.startswith("r", F.lit("level\t")))
     num = lambda i: F.coalesce(F.nullif(F.regexp_extract(c[i], r"^\s*([+-]?\d+)", 1), F.lit("")).cast("long"), F.lit(0))
-    out = rows.select(*PAGE, num(0).alias("level"), num(4).alias("line_no"), num(5).alias("word_no"), *(num(i).alias(n) for i, n in ((6, "x0"), (7, "y0"), (8, "w"), (9, "h"), (10, "conf"))), F.trim(F.array_join(F.slice(c, 12, 1000000), "\t")).alias("text"))
-    return out.select(*PAGE, "level", "line_no", "word_no", "text", "conf", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
+    at = {"level": 0, "block_no": 2, "par_no": 3, "in_par": 4, "word_no": 5, "x0": 6, "y0": 7, "w": 8, "h": 9}
+    out = rows.select(*PAGE, *(num(i).alias(n) for n, i in at.items()), F.coalesce(js_number(c[10]), F.lit(0.0)).alias("conf"), F.trim(F.array_join(F.slice(c, 12, 1000000), "\t")).alias("text"))
+    line = F.expr("(block_no * 1000000 + par_no) * 1000000 + in_par").alias("line_no")
+    return out.select(*PAGE, "level", "block_no", "par_no", line, "word_no", "text", "conf", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
+
+
+def by_line():
+    """All words of a line: what is counted over it is exchanged once, by line, and not joined back."""
+    return Window.partitionBy(*LINE)
+
+
+def _height():
+    return F.greatest(F.lit(1), F.col("y1") - F.col("y0"))
+
+
+def _boxed():
+    return F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
 
 
 def assemble(words: DataFrame) -> DataFrame:
-    """Lines of words(…, seq, x0, y0, x1, y1, conf, text): box, mean conf of known ones, text in order of x0."""
-    return words.groupBy(*LINE).agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_words"),
-        F.coalesce(F.avg(F.when(F.col("conf") >= 0, F.col("conf"))), F.lit(0.0)).alias("conf"), F.array_join(F.sort_array(F.collect_list(F.struct("x0", "k", "text")))["text"], " ").alias("text"),
+    """Lines of words(…, k, x0, y0, x1, y1, conf, text): box, mean conf of known ones, text in the order of the line's orientation."""
+    return ordered(words).groupBy(*LINE).agg(
+        *_boxed(), F.count("*").alias("n_words"),
+        F.coalesce(F.avg(F.when(F.col("conf") >= 0, F.col("conf"))), F.lit(0.0)).alias("conf"), F.array_join(F.sort_array(F.collect_list(F.struct("pos", "text")))["text"], " ").alias("text"),
     )
 
 
+def merge(words: DataFrame) -> DataFrame:
+    """Lines that words were moved into: box and the mean of all confidences, unknown (negative) ones too."""
+    return words.groupBy(*LINE).agg(*_boxed(), F.avg("conf").alias("conf"))
+
+
 def heights(words: DataFrame) -> DataFrame:
-    return words.groupBy(*LINE).agg(upper_median(F.collect_list(F.col("y1") - F.col("y0"))).alias("med_h"), F.count("*").alias("n_words"))
+    return words.groupBy(*LINE).agg(upper_median(F.collect_list(_height())).alias("med_h"), F.count("*").alias("n_words"))
 
 
 def gaps(words: DataFrame, cjk: bool = False) -> DataFrame:
-    """Wide gaps between neighbours of a line: wider than 12, and than factors of its median gap and height."""
-    w = words.withColumn("left", F.lag("x1").over(Window.partitionBy(*LINE).orderBy("x0", "k")))
-    w = w.withColumn("gap", F.col("x0") - F.col("left"))
-    m = w.groupBy(*LINE).agg(upper_median(F.collect_list(F.col("y1") - F.col("y0"))).alias("med_h"), F.coalesce(upper_median(F.collect_list(F.when(F.col("gap") > 0, F.col("gap")))), F.lit(0)).alias("med_gap"))
+    """Wide gaps between neighbours of a line: wider than 12, and than factors of its median gap and height; with the region to scan, a quarter of that height wider."""
+    left = F.lag(F.struct("x1", "y0", "y1")).over(by_line().orderBy("x0", "k"))
+    w = words.withColumn("l", left).withColumn("gap", F.col("x0") - F.col("l.x1"))
+    w = w.withColumns({"med_h": upper_median(F.collect_list(_height()).over(by_line())), "med_gap": F.coalesce(upper_median(F.collect_list(F.when(F.col("gap") > 0, F.col("gap"))).over(by_line())), F.lit(0))})
     limit = F.greatest(F.lit(12.0), F.col("med_gap") * GAP_BY_GAP[cjk], F.col("med_h") * GAP_BY_HEIGHT[cjk])
-    return w.where("gap > 0").join(m, LINE).withColumn("limit", limit).where(F.col("gap") > F.col("limit")).select(*LINE, F.col("left").alias("gx0"), F.col("x0").alias("gx1"), "gap", "med_h", "limit")
+    pad = 0.25 * F.col("med_h")
+    region = (F.col("gx0") - pad).alias("rx0"), (F.least("l.y0", "y0") - pad).alias("ry0"), (F.col("gx1") + pad).alias("rx1"), (F.greatest("l.y1", "y1") + pad).alias("ry1")
+    w = w.withColumns({"limit": limit, "gx0": F.col("l.x1"), "gx1": F.col("x0")}).where("gap > 0 and gap > limit")
+    return w.select(*LINE, "gx0", "gx1", "gap", "med_h", "limit", *region)
 
 
 def edge_gaps(words: DataFrame, boxes: DataFrame, cjk: bool = False) -> DataFrame:
@@ -59,22 +86,37 @@ def edge_gaps(words: DataFrame, boxes: DataFrame, cjk: bool = False) -> DataFram
     return e.select(*LINE, "med_h", "limit", sides.alias("s")).select(*LINE, "med_h", "limit", "s.*").where("gx1 - gx0 > limit")
 
 
-def vertical_gaps(lines: DataFrame, heights_: DataFrame, page_h: int = PAGE_H, most: int = 3) -> DataFrame:
-    """The widest gaps above and between the lines of a page, over .07 of its height and 2.4 median line heights."""
-    med = lines.groupBy(*PAGE).agg(upper_median(F.collect_list(F.col("y1") - F.col("y0"))).alias("med_h"))
-    by = Window.partitionBy(*PAGE).orderBy("y0", "line_no")
-    g = lines.withColumn("top", F.coalesce(F.lag("y1").over(by), F.lit(0)))
-    g = g.join(med, PAGE).withColumn("gap", F.col("y0") - F.col("top")).where(F.col("gap") > F.greatest(F.lit(0.07 * page_h), 2.4 * F.col("med_h")))
-    rank = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("gap"), "y0", "line_no"))
-    return g.withColumn("r", rank).where(F.col("r") <= most).select(*PAGE, F.col("top").alias("gy0"), F.col("y0").alias("gy1"), "gap")
+def vertical_gaps(lines: DataFrame, page_h: int = PAGE_H, most: int = 3) -> DataFrame:
+    """The widest gaps above and between the lines of a page, over .07 of its height and 2.4 median line heights, with the region to scan.
+
+    The region is a quarter of the median height higher on each side (not above the page) and .3 of it wider than both lines.
+    """
+    page = Window.partitionBy(*PAGE)
+    g = lines.withColumns({"med_h": upper_median(F.collect_list(_height()).over(page)), "up": F.lag(F.struct("x0", "x1", "y1")).over(page.orderBy("y0", "line_no"))})
+    g = g.withColumn("top", F.coalesce("up.y1", F.lit(0)))
+    g = g.withColumn("gap", F.col("y0") - F.col("top")).where(F.col("gap") > F.greatest(F.lit(0.07 * page_h), 2.4 * F.col("med_h")))
+    rank = F.row_number().over(page.orderBy(F.desc("gap"), "y0", "line_no"))
+    pad = F.col("med_h")
+    region = (
+        (F.least("up.x0", "x0") - 0.3 * pad).alias("rx0"), F.when(F.col("up").isNull(), 0.0).otherwise(F.col("top") - 0.25 * pad).alias("ry0"),
+        (F.greatest("up.x1", "x1") + 0.3 * pad).alias("rx1"), (F.col("y0") + 0.25 * pad).alias("ry1"),
+    )
+    return g.withColumn("r", rank).where(F.col("r") <= most).select(*PAGE, F.col("top").alias("gy0"), F.col("y0").alias("gy1"), "gap", *region)
 
 
 def split_lines(words: DataFrame) -> DataFrame:
     """Words with seg: a new segment where the gap to the word before is over 18 and 2.6 median heights."""
-    w = words.join(heights(words).select(*LINE, "med_h"), LINE)
-    by = Window.partitionBy(*LINE).orderBy("x0", "k")
-    w = w.withColumn("cut", (F.col("x0") - F.lag("x1").over(by) > F.greatest(F.lit(18.0), 2.6 * F.col("med_h"))).cast("int"))
-    return w.withColumn("seg", F.coalesce(F.sum("cut").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).drop("cut")
+    by = by_line().orderBy("x0", "k")
+    w = words.withColumns({"med_h": upper_median(F.collect_list(_height()).over(by_line())), "before": F.lag("x1").over(by)})
+    w = w.withColumn("cut", (F.col("x0") - F.col("before") > F.greatest(F.lit(18.0), 2.6 * F.col("med_h"))).cast("int"))
+    return w.withColumn("seg", F.coalesce(F.sum("cut").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).drop("cut", "before")
+
+
+def rebuild(words: DataFrame) -> DataFrame:
+    """Lines of the words that are left, split at wide gaps: line_no, seg, box, conf, text, and their place by y0 on the page."""
+    w = ordered(split_lines(words)).withColumn("seg", F.col("seg").cast("long"))
+    lines = w.groupBy(*LINE, "seg").agg(*_boxed(), F.count("*").alias("n_words"), F.avg("conf").alias("conf"), F.array_join(F.sort_array(F.collect_list(F.struct("pos", "text")))["text"], " ").alias("text"))
+    return lines.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0", "line_no", "seg")) - 1)
 
 
 def coverage(words: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -91,21 +133,21 @@ def coverage(words: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def ordered(words: DataFrame) -> DataFrame:
-    """Words with pos, their place along the line's regression axis of centres."""
+    """Words with pos, their place along the line's regression axis of centres, and n, the line's words."""
     w = words.withColumns({"cx": F.expr("(x0 + x1) / 2"), "cy": F.expr("(y0 + y1) / 2")})
-    m = w.groupBy(*LINE).agg(F.count("*").alias("n"), *(F.sum(F.expr(e)).alias(a) for e, a in (("cx", "sx"), ("cy", "sy"), ("cx * cx", "sxx"), ("cy * cy", "syy"), ("cx * cy", "sxy"))))
-    m = m.select(*LINE, F.expr("sxx - sx * sx / n").alias("vx"), F.expr("syy - sy * sy / n").alias("vy"), F.expr("sxy - sx * sy / n").alias("cov"))
-    slope = F.col("cov") / F.greatest(F.lit(1e-6), F.col("vx"))
+    w = w.withColumns({"n": F.count("*").over(by_line())} | {a: F.sum(F.expr(e)).over(by_line()) for e, a in (("cx", "sx"), ("cy", "sy"), ("cx * cx", "sxx"), ("cy * cy", "syy"), ("cx * cy", "sxy"))})
+    w = w.withColumns({"vx": F.expr("sxx - sx * sx / n"), "vy": F.expr("syy - sy * sy / n"), "slope": F.expr("(sxy - sx * sy / n) / greatest(0.000001D, sxx - sx * sx / n)")})
     key = (
         F.when((F.col("vx") < 1e-3) & (F.col("vy") < 1e-3), F.lit(0.0)).when(F.col("vx") < 0.1 * F.col("vy"), F.col("cy"))
-        .when(F.abs(F.atan(slope)) < 0.12, F.col("x0").cast("double")).otherwise((F.col("cx") + F.col("cy") * slope) / F.sqrt(1 + slope * slope))
+        .when(F.abs(F.atan("slope")) < 0.12, F.col("x0").cast("double")).otherwise((F.col("cx") + F.col("cy") * F.col("slope")) / F.sqrt(1 + F.col("slope") * F.col("slope")))
     )
-    return w.join(m, LINE).withColumn("pos", F.row_number().over(Window.partitionBy(*LINE).orderBy(F.round(key, 6), "k")) - 1).drop("cx", "cy", "vx", "vy", "cov")
+    w = w.withColumn("pos", F.row_number().over(by_line().orderBy(F.round(key, 6), "k")) - 1)
+    return w.select(*words.columns, "n", "pos")
 
 
 def clean_noise(words: DataFrame) -> DataFrame:
     """Words that no noise rule drops. The place of a word is that before anything is dropped."""
-    w = ordered(words).join(heights(words), LINE).withColumns({"a": alnum(F.col("text")), "h": F.greatest(F.lit(1), F.col("y1") - F.col("y0"))})
+    w = ordered(words).withColumns({"a": alnum(F.col("text")), "h": _height(), "med_h": upper_median(F.collect_list(_height()).over(by_line()))}).withColumnRenamed("n", "n_words")
     n, h, first = F.length("a"), F.col("h") / F.col("med_h"), F.col("pos") == 0
     sparse = (F.col("n_words") < 4) | first
     upper, lower = F.col("a").rlike(r"\p{Lu}"), F.col("a").rlike(r"\p{Ll}")
@@ -140,21 +182,20 @@ def budget(found: DataFrame, per_line: int = 3, per_page: int = 20) -> DataFrame
 
 
 def lines_by_y(words: DataFrame, page_h: int = PAGE_H) -> DataFrame:
-    """Words with line, rebuilt by centre heights: each page is one sequential fold; its order is (y0 within tolerance, x0, word)."""
+    """Words with line, rebuilt by centre heights: each page is one sequential fold; its order is (y0, equal within 2, then x0), ties by word_no."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("word_no", kind="stable").reset_index(drop=True)
-        med = sorted((pdf.y1 - pdf.y0).tolist())[len(pdf) // 2]
+        med = sorted((pdf.y1 - pdf.y0).clip(lower=1).tolist())[len(pdf) // 2]
         tol = max(4, 0.6 * med, 0.001 * page_h)
-        rows = list(zip(pdf.x0, pdf.y0, pdf.y1, strict=True))
-        mid = [(a + b) / 2 for _, a, b in rows]
-        order = sorted(range(len(rows)), key=cmp_to_key(lambda i, j: mid[i] - mid[j] if abs(mid[i] - mid[j]) > tol else rows[i][0] - rows[j][0]))
-        line, box, out = -1, None, [0] * len(rows)
+        x0, y0, y1 = pdf.x0.tolist(), pdf.y0.tolist(), pdf.y1.tolist()
+        # The comparison is no order over a whole page, so it needs a comparator: no key sorts the same.
+        order = sorted(range(len(pdf)), key=cmp_to_key(lambda i, j: y0[i] - y0[j] if abs(y0[i] - y0[j]) > 2 else x0[i] - x0[j]))
+        line, top, low, out = -1, 0, 0, [0] * len(pdf)
         for i in order:
-            if box is None or abs(mid[i] - (box[0] + box[1]) / 2) > tol:
-                line, box = line + 1, (rows[i][1], rows[i][2])
-            else:
-                box = (min(box[0], rows[i][1]), max(box[1], rows[i][2]))
+            if line < 0 or abs((y0[i] + y1[i]) / 2 - (top + low) / 2) > tol:
+                line, top, low = line + 1, y0[i], y1[i]
+            top, low = min(top, y0[i]), max(low, y1[i])
             out[i] = line
         return pd.DataFrame({"doc_id": pdf.doc_id, "page_no": pdf.page_no, "word_no": pdf.word_no, "line": out})
 
@@ -176,17 +217,21 @@ _G = f"""g0 AS (SELECT *, lag(x1) OVER (PARTITION BY {_K} ORDER BY x0, k) AS l F
   gm AS (SELECT {_K}, {_MED} AS med_h, coalesce(list_sort(list(gap) FILTER (gap > 0))[count(*) FILTER (gap > 0) // 2 + 1], 0) AS med_gap, min(x0) AS f, arg_max(x1, k) AS z FROM g1 GROUP BY ALL),
   gl AS (SELECT *, greatest(12.0, med_gap * 1.6, med_h * 0.9)::DOUBLE AS lim FROM gm)"""
 _tsv = lambda s, d: parse_tsv(T.tsv(T.words(s, d)))
-_q("tsv_words", lambda s, d: _tsv(s, d).where("level = 5").drop("level"), "w", f"SELECT {_K}, k + 1 AS word_no, trim(text) AS text, conf, x0, y0, x1, y1 FROM w")
-_q("tsv_line_boxes", lambda s, d: _tsv(s, d).where("level = 4").select(*LINE, "x0", "y0", "x1", "y1"), "w lb", f"SELECT {_K}, bx0 AS x0, by0 AS y0, bx1 AS x1, by1 AS y1 FROM lb")
+_TL = T.TSV_LINE.format(div="//")
+_q("tsv_words", lambda s, d: _tsv(s, d).where("level = 5").drop("level"), "w", f"SELECT doc_id, page_no, 1 + line_no // 10 AS block_no, 1 + line_no % 10 // 5 AS par_no, {_TL} AS line_no, k + 1 AS word_no, trim(text) AS text, conf + word_no % 10 / 10.0 AS conf, x0, y0, x1, y1 FROM w")
+_q("tsv_line_boxes", lambda s, d: _tsv(s, d).where("level = 4").select(*LINE, "x0", "y0", "x1", "y1"), "w lb", f"SELECT doc_id, page_no, {_TL} AS line_no, bx0 AS x0, by0 AS y0, bx1 AS x1, by1 AS y1 FROM lb")
 _q("line_assembly", lambda s, d: assemble(T.words(s, d)), "w", f"SELECT {_K}, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_words, avg(conf) AS conf, string_agg(text, ' ' ORDER BY k) AS text FROM w GROUP BY ALL")
-_q("line_merge", lambda s, d: assemble(T.words(s, d).withColumn("line_no", F.expr("line_no div 2")).withColumn("k", F.col("word_no"))).select(*LINE, "x0", "y0", "x1", "y1", "conf"), "w", "SELECT doc_id, page_no, line_no // 2 AS line_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum(conf) / count(*) AS conf FROM w GROUP BY ALL")
+_unknown = lambda w: w.withColumn("conf", F.expr("CASE WHEN k = 3 THEN -1 ELSE conf END"))
+_q("line_merge", lambda s, d: merge(_unknown(T.words(s, d)).withColumn("line_no", F.expr("line_no div 2"))), "w", "SELECT doc_id, page_no, line_no // 2 AS line_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum(CASE WHEN k = 3 THEN -1 ELSE conf END) / count(*) AS conf FROM w GROUP BY ALL")
 _q("line_median_height", lambda s, d: heights(T.words(s, d)), "w", f"SELECT {_K}, {_MED} AS med_h, count(*) AS n_words FROM w GROUP BY ALL")
-_q("large_gaps", lambda s, d: gaps(T.words(s, d)).select(*LINE, "gx0", "gx1", "limit"), "w", f'SELECT * FROM (WITH {_G} SELECT {_K}, l AS gx0, x0 AS gx1, lim AS "limit" FROM g1 JOIN gl USING ({_K}) WHERE gap > 0 AND gap > lim)')
+_q("large_gaps", lambda s, d: gaps(T.words(s, d)).select(*LINE, "gx0", "gx1", "limit", "rx0", "ry0", "rx1", "ry1"), "w", f"""SELECT * FROM (WITH {_G}, gy AS (SELECT *, lag(y0) OVER (PARTITION BY {_K} ORDER BY k) AS ly0, lag(y1) OVER (PARTITION BY {_K} ORDER BY k) AS ly1 FROM g1)
+  SELECT {_K}, l AS gx0, x0 AS gx1, lim AS "limit", l - med_h / 4.0 AS rx0, least(y0, ly0) - med_h / 4.0 AS ry0, x0 + med_h / 4.0 AS rx1, greatest(y1, ly1) + med_h / 4.0 AS ry1 FROM gy JOIN gl USING ({_K}) WHERE gap > 0 AND gap > lim)""")
 _q("edge_gaps", lambda s, d: edge_gaps(T.words(s, d), T.line_boxes(T.words(s, d))).select(*LINE, "side", "gx0", "gx1"), "w lb", f"SELECT * FROM (WITH {_G} SELECT {_K}, 'lead' AS side, bx0 AS gx0, f AS gx1 FROM gl JOIN lb USING ({_K}) WHERE f - bx0 > lim UNION ALL SELECT {_K}, 'trail', z, bx1 FROM gl JOIN lb USING ({_K}) WHERE bx1 - z > lim)")
-_sparse = lambda w: w.where("(line_no * 7 + doc_id) % 4 = 0")
-_q("vertical_gaps", lambda s, d: vertical_gaps(assemble(_sparse(T.words(s, d))), None), "w", f"""SELECT doc_id, page_no, gy0, gy1, gap FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY gap DESC, gy1) AS r FROM (
-  SELECT doc_id, page_no, top AS gy0, y0 AS gy1, y0 - top AS gap, list_sort(hs)[len(hs) // 2 + 1] AS mh FROM (SELECT *, coalesce(lag(y1) OVER (PARTITION BY doc_id, page_no ORDER BY y0), 0) AS top, list(y1 - y0) OVER (PARTITION BY doc_id, page_no) AS hs
-    FROM (SELECT {_K}, min(y0) AS y0, max(y1) AS y1 FROM w WHERE (line_no * 7 + doc_id) % 4 = 0 GROUP BY ALL))) WHERE gap > greatest({0.07 * PAGE_H}, 2.4 * mh)) WHERE r <= 3""")
+_spread = lambda w: w.withColumns({c: F.expr(f"{c} + 70 * (line_no div 4)") for c in ("y0", "y1")})
+_q("vertical_gaps", lambda s, d: vertical_gaps(assemble(_spread(T.words(s, d)))), "w", f"""SELECT doc_id, page_no, gy0, gy1, gap, rx0, ry0, rx1, ry1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY gap DESC, gy1) AS r FROM (
+  SELECT doc_id, page_no, coalesce(up, 0) AS gy0, y0 AS gy1, y0 - coalesce(up, 0) AS gap, mh, least(x0, ux0) - 0.3::DOUBLE * mh AS rx0, CASE WHEN up IS NULL THEN 0 ELSE up - 0.25::DOUBLE * mh END AS ry0, greatest(x1, ux1) + 0.3::DOUBLE * mh AS rx1, y0 + 0.25::DOUBLE * mh AS ry1
+    FROM (SELECT *, hs[len(hs) // 2 + 1] AS mh FROM (SELECT *, lag(y1) OVER p AS up, lag(x0) OVER p AS ux0, lag(x1) OVER p AS ux1, list_sort(list(y1 - y0) OVER (PARTITION BY doc_id, page_no)) AS hs
+      FROM (SELECT {_K}, min(x0) AS x0, max(x1) AS x1, min(y0) + 70 * (line_no // 4) AS y0, max(y1) + 70 * (line_no // 4) AS y1 FROM w GROUP BY doc_id, page_no, line_no) WINDOW p AS (PARTITION BY doc_id, page_no ORDER BY y0)))) WHERE gap > greatest({0.07 * PAGE_H}, 2.4 * mh)) WHERE r <= 3""")
 _q("split_lines", lambda s, d: split_lines(T.words(s, d)).select(*LINE, "k", "seg"), "w", f"SELECT {_K}, k, coalesce(sum((gap > greatest(18.0, 2.6 * mh))::INT) OVER (PARTITION BY {_K} ORDER BY k), 0)::BIGINT AS seg FROM (SELECT *, x0 - lag(x1) OVER (PARTITION BY {_K} ORDER BY k) AS gap, h[len(h) // 2 + 1] AS mh FROM (SELECT *, list_sort(list(y1 - y0) OVER (PARTITION BY {_K})) AS h FROM w))")
 _COV = f"SELECT {_K}, least(1.0, sum(CASE WHEN a.y1 - a.y0 >= 0.2 * (by1 - by0) THEN x1 - x0 ELSE 0 END) / greatest(1, bx1 - bx0)) AS coverage FROM w a JOIN lb USING ({_K}) GROUP BY {_K}, bx0, bx1"
 _q("line_coverage", lambda s, d: coverage(T.words(s, d), T.line_boxes(T.words(s, d))), "w lb", _COV)
@@ -205,8 +250,10 @@ _q("noise_filter", lambda s, d: clean_noise(_small(T.words(s, d))).select("doc_i
 _q("protected_words", lambda s, d: protected(T.words(s, d), assemble(T.words(s, d))).select("doc_id", "word_no"), "w", f"SELECT doc_id, word_no FROM w JOIN (SELECT {_K} FROM w GROUP BY ALL HAVING count(*) >= 2 OR avg(conf) >= 65) USING ({_K})")
 _q("empty_lines", lambda s, d: (b := T.line_boxes(T.words(s, d))).join(T.words(s, d).where("line_no % 9 <> 4"), LINE, "left_anti").withColumn("r", F.row_number().over(Window.partitionBy(*PAGE).orderBy("line_no"))).where("r <= 8").select(*LINE, "r"), "w lb", f"SELECT {_K}, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS r FROM lb WHERE line_no % 9 = 4")
 _q("recovered_filter", lambda s, d: T.words(s, d).where((F.col("conf") >= 60) & (F.length(alnum(F.col("text"))) > 0) & (F.length(alnum(F.col("text"))) <= F.when(non_latin(F.col("text")), 6).otherwise(2))).select("doc_id", "word_no"), "w", "SELECT doc_id, word_no FROM (SELECT *, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS n FROM w) WHERE conf >= 60 AND n > 0 AND n <= CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 6 ELSE 2 END")
-_q("rebuild_lines", lambda s, d: assemble(split_lines(_sparse(T.words(s, d))).withColumn("line_no", F.col("line_no") * 10 + F.col("seg"))).select(*LINE, "x0", "x1", "n_words"), "w", f"""SELECT doc_id, page_no, line_no * 10 + seg AS line_no, min(x0) AS x0, max(x1) AS x1, count(*) AS n_words FROM (SELECT *, coalesce(sum((gap > greatest(18.0, 2.6 * mh))::INT) OVER (PARTITION BY {_K} ORDER BY k), 0)::BIGINT AS seg FROM (
-  SELECT *, x0 - lag(x1) OVER (PARTITION BY {_K} ORDER BY k) AS gap, h[len(h) // 2 + 1] AS mh FROM (SELECT *, list_sort(list(y1 - y0) OVER (PARTITION BY {_K})) AS h FROM w WHERE (line_no * 7 + doc_id) % 4 = 0))) GROUP BY ALL""")
+_q("rebuild_lines", lambda s, d: rebuild(T.words(s, d).where("word_no % 7 <> 2")).select(*LINE, "seg", "x0", "x1", "n_words", "text", "place"), "w", f"""SELECT {_K}, seg, min(x0) AS x0, max(x1) AS x1, count(*) AS n_words, string_agg(text, ' ' ORDER BY k) AS text, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY min(y0), line_no, seg) - 1 AS place FROM (
+  SELECT *, coalesce(sum((gap > greatest(18.0, 2.6 * mh))::INT) OVER (PARTITION BY {_K} ORDER BY k), 0)::BIGINT AS seg FROM (
+  SELECT *, x0 - lag(x1) OVER (PARTITION BY {_K} ORDER BY k) AS gap, h[len(h) // 2 + 1] AS mh FROM (SELECT *, list_sort(list(y1 - y0) OVER (PARTITION BY {_K})) AS h FROM w WHERE word_no % 7 <> 2))) GROUP BY {_K}, seg""")
+_q("cjk_language", lambda s, d: T.cache_log(s, d).select("event_id", cjk(F.col("language")).alias("cjk")), "log", "SELECT event_id, language IN ('kor', 'jpn', 'jpn_vert', 'chi_sim', 'chi_tra') AS cjk FROM log")
 _q("lines_by_y", lambda s, d: lines_by_y(T.words(s, d)))
 _q("ocr_totals", lambda s, d: T.words(s, d).groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages"), F.count("*").alias("words")), "w", "SELECT doc_id, max(page_no) + 1 AS pages, count(*) AS words FROM w GROUP BY 1")
 _q("chunk_confidence", lambda s, d: T.words(s, d).groupBy("doc_id", "page_no").agg(F.avg("conf").alias("c")).groupBy("doc_id").agg(F.avg("c").alias("conf")), "w", "SELECT doc_id, avg(c) AS conf FROM (SELECT doc_id, page_no, avg(conf) AS c FROM w GROUP BY ALL) GROUP BY 1")

@@ -15,8 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+def documents(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
+    """The library's documents, of all rows of the table or of those given."""
+    d = (table(spark, sf_dir, "documents") if rows is None else rows).select("doc_id", "lang", "source", "n_chars")
     name = F.format_string("%s_%d.pdf", "lang", "doc_id")
     return d.select(
         (F.col("doc_id") + 1).alias("id"),
@@ -66,15 +67,23 @@ def line_boxes(w: DataFrame) -> DataFrame:
 
 
 def tsv(w: DataFrame) -> DataFrame:
-    """Recogniser output: one text per page, a header, a level-4 row per line and a level-5 row per word."""
-    row = lambda level, conf, text, no, x0, y0, x1, y1: F.concat_ws("\t", *(F.col(c).cast("string") if isinstance(c, str) else c for c in (F.lit(level), F.expr("page_no + 1"), F.lit("1"), F.lit("1"), "line_no", no, x0, y0, F.expr(f"{x1} - {x0}"), F.expr(f"{y1} - {y0}"), conf, text)))
-    word = w.select("doc_id", "page_no", "line_no", F.expr("k + 1").alias("at"), row("5", "conf", "text", F.expr("k + 1"), "x0", "y0", "x1", "y1").alias("r"))
+    """Recogniser output: one text per page, a header, a level-4 row per line and a level-5 row per word.
+
+    Ten lines are a block and five a paragraph, whose lines are counted from 0 again; confidences have a fraction.
+    """
+    block, par, no = F.expr("1 + line_no div 10"), F.expr("1 + line_no % 10 div 5"), F.expr("line_no % 5")
+    row = lambda level, conf, text, at, x0, y0, x1, y1: F.concat_ws("\t", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in (F.lit(level), F.expr("page_no + 1"), block, par, no, at, x0, y0, F.expr(f"{x1} - {x0}"), F.expr(f"{y1} - {y0}"), conf, text)))
+    word = w.select("doc_id", "page_no", "line_no", F.expr("k + 1").alias("at"), row("5", F.concat(F.col("conf").cast("string"), F.lit("."), F.expr("word_no % 10").cast("string")), "text", F.expr("k + 1"), "x0", "y0", "x1", "y1").alias("r"))
     line = line_boxes(w).select("doc_id", "page_no", "line_no", F.lit(0).alias("at"), row("4", F.lit("-1"), F.lit(""), F.lit("0"), "bx0", "by0", "bx1", "by1").alias("r"))
     pages = word.unionByName(line).groupBy("doc_id", "page_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "at", "r"))).alias("rows"))
     head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"
     return pages.select("doc_id", "page_no", F.concat_ws("\n", F.lit(head), F.array_join("rows.r", "\n"), F.lit("")).alias("tsv"))
 
 
+#: The line number that a line of tsv() has once its block and paragraph are in it, for both engines.
+TSV_LINE = "((1 + line_no {div} 10) * 1000000 + 1 + line_no % 10 {div} 5) * 1000000 + line_no % 5"
+
+
 def pixels(spark, sf_dir) -> DataFrame:
     """An 8 x 8 grey raster per vector: vec_id, x, y, v from 0 to 255."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "e"))
@@ -86,7 +95,7 @@ def cache_log(spark, sf_dir) -> DataFrame:
     """Writes of recognised pages: document_id, page (an event type), payload, in the order (ts, event_id)."""
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("document_id"), F.col("event_type").alias("page"), F.col("value").alias("payload"), "ts", "event_id",
-                    F.expr("CASE event_id % 3 WHEN 0 THEN 'eng' WHEN 1 THEN 'jpn' ELSE 'fra' END").alias("language"), F.expr("150 + 50 * (event_id % 2)").alias("dpi"))
+                    F.expr("CASE event_id % 3 WHEN 0 THEN 'eng' WHEN 1 THEN 'jpn' ELSE 'fra' END").alias("language"), F.expr("150 + 50 * (event_id % 2)").alias("dpi"), F.expr("CASE WHEN event_id % 5 > 0 THEN event_id % 5 END").alias("psm"))
 
 
 #: The same adapters for DuckDB.
@@ -106,7 +115,7 @@ SQL = {
         w AS (SELECT doc_id, page_no, line_no, k, word_no, text, (31 * doc_id + 17 * line_no + 7 * word_no) % 101 AS conf, x0, y0, x0 + 8 * n AS x1, y0 + 12 + n % 5 AS y1 FROM w2)""",
     "lb": "lb AS (SELECT doc_id, page_no, line_no, min(x0) - 40 AS bx0, min(y0) AS by0, max(x1) + 40 AS bx1, max(y1) AS by1 FROM w GROUP BY ALL)",
     "px": "px AS (SELECT vec_id, p % 8 AS x, p // 8 AS y, floor((greatest(-1.0, least(1.0, embedding[p + 1]::DOUBLE)) + 1) * 127.5)::BIGINT AS v FROM embeddings, range(64) r(p))",
-    "log": "log AS (SELECT user_id AS document_id, event_type AS page, value AS payload, ts, event_id, CASE event_id % 3 WHEN 0 THEN 'eng' WHEN 1 THEN 'jpn' ELSE 'fra' END AS language, 150 + 50 * (event_id % 2) AS dpi FROM events)",
+    "log": "log AS (SELECT user_id AS document_id, event_type AS page, value AS payload, ts, event_id, CASE event_id % 3 WHEN 0 THEN 'eng' WHEN 1 THEN 'jpn' ELSE 'fra' END AS language, 150 + 50 * (event_id % 2) AS dpi, CASE WHEN event_id % 5 > 0 THEN event_id % 5 END AS psm FROM events)",
 }
 
 

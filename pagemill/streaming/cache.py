@@ -1,4 +1,4 @@
-"""The page cache as a stream: each micro-batch is folded into the state by last writer wins."""
+"""The page cache as a stream: a keyed state holds the last write of every page; each micro-batch adds only the pages it changed."""
 
 from __future__ import annotations
 
@@ -7,33 +7,42 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.library import latest
 from ..sources import tables as T
 
+KEY = ["document_id", "page"]
 
-def cache_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """State after all events: every batch writes a new version of (document_id, page, payload, ts, event_id) and reads the one before."""
-    schema = T.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    versions: list[str] = []
 
-    def fold(batch: DataFrame, number: int) -> None:
-        rows = batch.select(F.col("user_id").alias("document_id"), F.col("event_type").alias("page"), F.struct(F.col("value").alias("payload"), "ts", "event_id").alias("last"), "ts", "event_id")
-        if versions:
-            rows = rows.unionByName(spark.read.parquet(versions[-1]).select("document_id", "page", "last", F.col("last.ts").alias("ts"), F.col("last.event_id").alias("event_id")))
-        path = f"{folder}/state-{number}-{uuid.uuid4().hex}"
-        latest(rows, ["document_id", "page"], ["ts", "event_id"], "last").write.parquet(path)
-        versions.append(path)
+def cache_stream(spark: SparkSession, source: str, folder: str, schema, files_at_once: int = 2) -> DataFrame:
+    """(document_id, page, payload) after all events in the Parquet files of source, in the order (ts, event_id).
 
-    stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/progress-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(versions[-1]).select("document_id", "page", F.col("last.payload").alias("payload"))
+    The state lives in the query's checkpoint under `folder`, so a stream that is started again goes on where it ended
+    and an event counts once. A batch writes its changed pages under its number: repeated, it writes the same. No
+    events give an empty table.
+    """
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(source)
+    order = F.struct("ts", "event_id")
+    last = events.groupBy(F.col("user_id").alias("document_id"), F.col("event_type").alias("page")).agg(F.max_by("value", order).alias("payload"))
+    updates = f"{folder}/updates"
 
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
+
+    last.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    if spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).isEmpty():
+        return spark.createDataFrame([], "document_id long, page string, payload double")
+    written = spark.read.schema("document_id long, page string, payload double, batch long").parquet(updates)
+    return written.groupBy(*KEY).agg(F.max_by("payload", "batch").alias("payload"))
 
-def _query(spark, sf_dir):
-    import tempfile
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return cache_stream(spark, sf_dir, f"{folder}/cache-{uuid.uuid4().hex}")
+def _query(spark, sf_dir):
+    """The events in several files, so that the state passes through several batches."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = f"{shared}/cache-{uuid.uuid4().hex}"
+    events = T.table(spark, sf_dir, "events")
+    events.repartition(6, "event_id").write.parquet(f"{folder}/events")
+    return cache_stream(spark, f"{folder}/events", f"{folder}/state", events.schema)
 
 
 Q = {"ocr_cache_stream": _query}

@@ -1,16 +1,18 @@
 """Findings of the review over page operators."""
 
+from pyspark.sql import functions as F
+
 from pagemill.operators import boxes
-from pagemill.sources import tables
 
 COLUMNS = "doc_id long, page_no int, line_no int, k int, word_no int, text string, conf long, x0 long, y0 long, x1 long, y1 long"
 
 
-def test_tile_filter_tests_every_tile_row(spark, monkeypatch):
-    # Tiles with (tx + ty + doc_id) % 3 = 0 are masked: for doc 2 of tile column 0 only row 1, which begins at 128.
+def test_tile_filter_tests_every_tile_row(spark):
+    # Of tile column 0 only row 1 is masked, which begins at 128.
     rows = [(2, 0, 0, 0, 0, "ab", 10, 0, 120, 16, 132), (2, 0, 0, 1, 1, "ab", 10, 0, 100, 16, 112), (2, 0, 0, 2, 2, "ab", 10, 0, 130, 16, 142)]
-    monkeypatch.setattr(tables, "words", lambda s, d: spark.createDataFrame(rows, COLUMNS))
-    assert {r.word_no for r in boxes.Q["tile_filter"](spark, "").collect()} == {1}
+    w = spark.createDataFrame(rows, COLUMNS).withColumns({"var": F.lit(0), "rel_h": F.lit(0.01)})
+    masked = spark.createDataFrame([(2, 0, 0, 1)], "doc_id long, page_no int, tx int, ty int")
+    assert {r.word_no for r in boxes.tile_filter(w, masked, w.where("false")).collect()} == {1}
 
 
 def first_fit(words, w=1400, h=600):
