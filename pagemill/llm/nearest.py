@@ -23,8 +23,8 @@ CURVES, DIMS, LEVELS = 16, 6, 4
 BLOCK_CELLS, BLOCK_ROWS, CELLS = 16, 16_384, (256, 65_536)
 #: Share of all rows on each side of a query that a curve's window holds, and rows that it holds at least.
 WINDOW, WINDOW_ROWS = 0.03, 256
-#: Rows that go on from a window to the exact scores, for each one asked for.
-SHORTLIST = 3
+#: Rows that go on from all windows of a query to the exact scores, and from one window to these, for each one asked for.
+SHORTLIST, FROM_WINDOW = 3, 1.5
 
 
 def hilbert(x: np.ndarray, levels: int = LEVELS) -> np.ndarray:
@@ -156,7 +156,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
 
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
         """The shortlist of every query over one block of one curve."""
-        asks, want = pdf["asks"].to_numpy(), SHORTLIST * k
+        asks, want = pdf["asks"].to_numpy(), int(FROM_WINDOW * k)
         v = decoded(np.frombuffer(b"".join(pdf["code"]), "u1").reshape(len(pdf), -1), pdf["step"].to_numpy(), d)
         cell, rep = pdf["cell"].to_numpy(), pdf["rep"].to_numpy("i8")
         q, x, out = np.flatnonzero(asks), np.flatnonzero(~asks), []
