@@ -150,9 +150,10 @@ _q("tags_of_doc", "SELECT t.id, name, color FROM tags t JOIN dt ON t.id = dt.tag
 )
 _q("project_children", "SELECT id, name, parent_id FROM projects WHERE parent_id = 2", "projects")(lambda s, d: T.projects(s).where("parent_id = 2"))
 _q("project_tree", "SELECT p.id, CASE WHEN p.id = 1 THEN 0 WHEN p.parent_id = 1 THEN 1 ELSE 2 END AS depth FROM projects p LEFT JOIN projects q ON p.parent_id = q.id WHERE 1 IN (p.id, p.parent_id, q.parent_id)", "projects")(lambda s, d: subtree(T.projects(s), 1))
+_collated = lambda c: F.collate(c, "UNICODE") if c in ("filename", "file_type") else F.col(c)
 for _key, _sql in (("name", "filename"), ("date", "last_accessed"), ("size", "file_size"), ("type", "file_type")):
     for _dir in ("asc", "desc"):
-        _q(f"docs_sorted_{_key}_{_dir}", f"SELECT {_ALL} FROM lib ORDER BY {_sql} {_dir}, id", "lib")(lambda s, d, c=_sql, a=_dir == "asc": T.documents(s, d).orderBy((x := F.collate(c, "UNICODE") if c in ("filename", "file_type") else F.col(c)).asc() if a else x.desc(), "id"))
+        _q(f"docs_sorted_{_key}_{_dir}", f"SELECT {_ALL} FROM lib ORDER BY {_sql} {_dir}, id", "lib")(lambda s, d, c=_sql, a=_dir == "asc": T.documents(s, d).orderBy(_collated(c).asc() if a else _collated(c).desc(), "id"))
 _q("valid_inputs", "SELECT doc_id, coalesce(length(text) BETWEEN 1 AND 9999, false) AS ok_text, coalesce(n_chars >= 0, false) AS ok_number FROM documents")(
     lambda s, d: T.table(s, d, "documents").select("doc_id", F.coalesce(F.length("text").between(1, 9999), F.lit(False)).alias("ok_text"), F.coalesce(F.col("n_chars") >= 0, F.lit(False)).alias("ok_number"))
 )
