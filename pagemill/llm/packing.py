@@ -34,7 +34,7 @@ class Encoder:
     """Token ids of texts. Words of plain texts are encoded once each and up to `keep` of them kept; any text with
     other characters, or that may hold a special token, goes to the tokenizer whole."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.keep, self.words = Tokenizer.from_file(path), keep, {}
