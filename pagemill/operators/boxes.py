@@ -248,21 +248,53 @@ _var = lambda: F.expr("(word_no * 37 + doc_id) % 1500")
 _relh = lambda: F.expr("(y1 - y0) / 600.0D")
 
 
+def even_ground(safe):
+    """Whether a word(text, conf, var, rel_h) stays where photographs are: protected, tall or certain foreign, or on an even ground, of some height or confidence."""
+    return F.when(safe, True).when(F.col("rel_h") >= 0.06, True).when(non_latin(alnum(F.col("text"))) & (F.col("conf") >= 55), True).otherwise(~((F.col("var") > 850) & (F.col("rel_h") < 0.028) & (F.col("conf") < 80)))
+
+
+def off_picture(safe, hit):
+    """Whether a word(text, conf, box, var, rel_h) stays where picture tiles are: not small and uncertain on one (hit), or protected."""
+    a = alnum(F.col("text"))
+    aspect, n, low = F.expr("greatest(1, x1 - x0) / greatest(1, y1 - y0)"), F.length(a), F.col("conf") < 70
+    return ~F.when((F.col("rel_h") >= 0.045) & (F.col("conf") >= 80), False).when(safe | ~hit, False).when(~non_latin(a), n.between(1, 2) & (F.col("rel_h") <= 0.02) & low).when(F.col("var") <= 850, False).otherwise(low & ((F.col("rel_h") <= 0.02) | (aspect >= 18)))
+
+
 def photo_filter(words: DataFrame, safe: DataFrame) -> DataFrame:
-    """words(…, var, rel_h) that stand on no photograph: protected, tall or certain foreign ones, and those on an even ground, of some height or confidence."""
+    """words(…, var, rel_h) that stand on no photograph, by even_ground(); safe holds the protected ones."""
     w = words.join(safe.select("doc_id", "word_no", F.lit(True).alias("safe")), ["doc_id", "word_no"], "left")
-    keep = F.when(F.coalesce("safe", F.lit(False)), True).when(F.col("rel_h") >= 0.06, True).when(non_latin(alnum(F.col("text"))) & (F.col("conf") >= 55), True).otherwise(~((F.col("var") > 850) & (F.col("rel_h") < 0.028) & (F.col("conf") < 80)))
-    return w.where(keep).drop("safe")
+    return w.where(even_ground(F.coalesce("safe", F.lit(False)))).drop("safe")
 
 
 def tile_filter(words: DataFrame, masked: DataFrame, safe: DataFrame, size: int = 128) -> DataFrame:
     """words(…, var, rel_h) without small uncertain ones over a tile of masked(doc_id, page_no, tx, ty); any tile that a word covers counts; protected ones stay."""
     over = words.select(*PAGE, "word_no", F.explode(F.sequence(F.expr(f"x0 div {size}"), F.expr(f"x1 div {size}"))).alias("tx"), "y0", "y1").withColumn("ty", F.explode(F.sequence(F.expr(f"y0 div {size}"), F.expr(f"y1 div {size}"))))
     hit = over.join(masked, [*PAGE, "tx", "ty"], "left_semi").select("doc_id", "word_no").distinct().withColumn("hit", F.lit(True))
-    w = words.join(hit, ["doc_id", "word_no"], "left").join(safe.select("doc_id", "word_no", F.lit(True).alias("safe")), ["doc_id", "word_no"], "left").withColumn("a", alnum(F.col("text")))
-    aspect, n, low = F.expr("greatest(1, x1 - x0) / greatest(1, y1 - y0)"), F.length("a"), F.col("conf") < 70
-    drop = F.when((F.col("rel_h") >= 0.045) & (F.col("conf") >= 80), False).when(F.col("safe").isNotNull() | F.col("hit").isNull(), False).when(~non_latin(F.col("a")), n.between(1, 2) & (F.col("rel_h") <= 0.02) & low).when(F.col("var") <= 850, False).otherwise(low & ((F.col("rel_h") <= 0.02) | (aspect >= 18)))
-    return w.where(~drop).drop("hit", "safe", "a")
+    w = words.join(hit, ["doc_id", "word_no"], "left").join(safe.select("doc_id", "word_no", F.lit(True).alias("safe")), ["doc_id", "word_no"], "left")
+    return w.where(off_picture(F.col("safe").isNotNull(), F.col("hit").isNotNull())).drop("hit", "safe")
+
+
+def picture_tiles(words: DataFrame, rasters: DataFrame, across: int, scale: int, tile: int) -> DataFrame:
+    """(doc_id, page_no, tiles): the picture tiles (tx, ty) of pages that have any, from rasters(doc_id, page_no, grey) and the words on them.
+
+    grey holds the rows of a page's raster one after the other, `across` values each, a value for every `scale` pixels;
+    a tile is `tile` values wide and high.
+    """
+    page = F.struct(*PAGE).alias("vec_id")
+    px = rasters.select(page, F.posexplode("grey").alias("at", "v")).select("vec_id", F.expr(f"at % {across}").alias("x"), F.expr(f"at div {across}").alias("y"), "v")
+    mask = fill_holes(tile_mask(with_words(tile_stats(px, tile, 1), words.select(page, "x0", "y0", "x1", "y1"), tile * scale)))
+    return mask.where("masked").groupBy("vec_id").agg(F.collect_set(F.struct(F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"))).alias("tiles")).select("vec_id.*", "tiles")
+
+
+def with_ground(words: DataFrame, across: int, scale: int, width: int = PAGE_W, height: int = PAGE_H) -> DataFrame:
+    """words(…, grey) with var, as background() has it, read from the raster in each word's row; 0 without a raster."""
+    w = sample_rect(words, width, height)
+    at = lambda c, i: f"cast(floor(q{c}0 + (q{c}1 - q{c}0) / 6 * ({i} + 1) + 0.5) as long)"
+    points = f"transform(sequence(0, 24), i -> struct({at('x', 'i % 5')} AS x, {at('y', 'i div 5')} AS y))"
+    shades = f"transform(filter({points}, p -> not (p.x between ix0 and ix1 and p.y between iy0 and iy1)), p -> cast(get(grey, cast(p.y div {scale} * {across} + p.x div {scale} as int)) as double))"
+    # One fold to the end, so that a filter on var evaluates it once a use.
+    var = f"aggregate({shades}, struct(0D AS n, 0D AS s, 0D AS s2), (a, v) -> struct(a.n + 1D AS n, a.s + v AS s, a.s2 + v * v AS s2), a -> if(a.n > 0, a.s2 / a.n - pow(a.s / a.n, 2), 0D))"
+    return w.withColumn("var", F.when(F.expr("grey is not null and qx1 > qx0 and qy1 > qy0"), F.expr(var)).otherwise(0.0)).select(*words.columns, "var")
 
 
 def _ground(s, d):
