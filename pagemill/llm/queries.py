@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, nearest, packing, quotes, secrets, sharding, simhash, toxicity, urls
+from . import conversations, decontaminate, licenses, nearest, packing, quality, quotes, secrets, sharding, simhash, toxicity, urls, whitening
 
 QUERIES = {
     "op1_quotes": quotes.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_secrets": secrets.query,
     "op10_licenses": licenses.query,
+    "op11_quality": quality.query,
+    "op12_whitening": whitening.query,
+    "op13_conversations": conversations.query,
 }
-ORACLES = {"op1_quotes": quotes.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op3_urls": urls.ORACLE}
+ORACLES = {"op1_quotes": quotes.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op3_urls": urls.ORACLE, "op11_quality": quality.ORACLE, "op13_conversations": conversations.ORACLE}
