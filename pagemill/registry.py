@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .operators import boxes, library, lines
+from .operators import boxes, library, lines, recovery
 from .plans import page
 from .streaming import cache
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (library, lines, boxes, page, cache):
+for _m in (library, lines, boxes, recovery, page, cache):
     QUERIES |= _m.Q
     ORACLES |= _m.O
