@@ -12,6 +12,7 @@ from ..functions.semantics import alnum, half_up, non_latin
 from ..sources import tables as T
 from ..sources.tables import LINE, PAGE_H, PAGE_W, oracle
 from .lines import PAGE, assemble, protected
+from .spatial import Cells, Stripes
 
 #: Overlap to accept, and stripes of page height under which overlapping rows meet.
 LINE_FOR_BOX, BOX_FOR_LINE, STRIPE = 0.40, 0.45, 64
@@ -60,19 +61,11 @@ def new_words(words: DataFrame, found: DataFrame, least: float = 0.6) -> DataFra
 
 
 def new_words_greedy(found: DataFrame, least: float = 0.6) -> DataFrame:
-    """Found words, each kept unless its box repeats one kept before it in its page: a fold of each page."""
+    """Found words, each kept unless its box repeats one kept before it in its page: a fold of each page, which compares a word with those kept in its cells."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept = pdf.sort_values("word_no", kind="stable"), []
-        for r in pdf.itertuples(index=False):
-            area = max(1, (r.x1 - r.x0) * (r.y1 - r.y0))
-            for k in kept:
-                w, h = min(r.x1, k.x1) - max(r.x0, k.x0), min(r.y1, k.y1) - max(r.y0, k.y0)
-                if w > 0 and h > 0 and w * h / (area + max(1, (k.x1 - k.x0) * (k.y1 - k.y0)) - w * h) >= least:
-                    break
-            else:
-                kept.append(r)
-        return pd.DataFrame(kept, columns=pdf.columns)
+        pdf = pdf.sort_values("word_no", kind="stable")
+        return pdf.iloc[Cells().add_new(list(zip(pdf.x0.tolist(), pdf.y0.tolist(), pdf.x1.tolist(), pdf.y1.tolist(), strict=True)), least)]
 
     cols = found.select(*PAGE, "word_no", "x0", "y0", "x1", "y1")
     return cols.groupBy(*PAGE).applyInPandas(fold, cols.schema)
@@ -104,8 +97,11 @@ def regions(words: DataFrame, page_w: int = PAGE_W, page_h: int = PAGE_H) -> Dat
         # The comparison is no order over a whole page, so it needs a comparator: no key sorts the same.
         rows = sorted(pdf.itertuples(index=False), key=cmp_to_key(lambda a, b: a.y0 - b.y0 if abs(a.y0 - b.y0) > tol else a.x0 - b.x0))
         groups: list[list] = []  # x0, y0, x1, y1, words, conf sum, texts
+        reach = Stripes(tol)
         for r in rows:
-            for g in groups:
+            # A group that takes the word overlaps it in height, or ends within tol of its top.
+            for i in reach.near(r.y0 - tol, r.y1 + tol):
+                g = groups[i]
                 beside = min(r.y1, g[3]) > max(r.y0, g[1]) and -r.x1 < r.x0 - g[2] < 0.05 * page_w
                 below = abs(r.y0 - g[3]) < tol and min(r.x1, g[2]) > max(r.x0, g[0])
                 if beside or below:
@@ -113,8 +109,10 @@ def regions(words: DataFrame, page_w: int = PAGE_W, page_h: int = PAGE_H) -> Dat
                     g[4] += 1
                     g[5] += r.conf
                     g[6].append(r.text)
+                    reach.put(i, g[1], g[3])
                     break
             else:
+                reach.put(len(groups), r.y0, r.y1)
                 groups.append([r.x0, r.y0, r.x1, r.y1, 1, r.conf, [r.text]])
         rows = [(pdf.doc_id.iloc[0], pdf.page_no.iloc[0], i, *g[:5], g[5] / g[4] / 100, " ".join(g[6])) for i, g in enumerate(groups)]
         return pd.DataFrame(rows, columns=["doc_id", "page_no", "region", "x0", "y0", "x1", "y1", "n_words", "conf", "text"])
