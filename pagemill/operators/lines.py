@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cmp_to_key
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.semantics import alnum, cjk, js_number, non_latin, upper_median
 from ..sources import tables as T
 from ..sources.tables import LINE, PAGE_H, PAGE_W, oracle
+from .spatial import rows_by_y
 
 PAGE = ["doc_id", "page_no"]
 #: Gap factors and rescan limits, (Latin, CJK).
@@ -182,24 +181,17 @@ def budget(found: DataFrame, per_line: int = 3, per_page: int = 20) -> DataFrame
 
 
 def lines_by_y(words: DataFrame, page_h: int = PAGE_H) -> DataFrame:
-    """Words with line, rebuilt by centre heights: each page is one sequential fold; its order is (y0, equal within 2, then x0), ties by word_no."""
+    """Words with line, rebuilt by centre heights: each page is one sequential fold; its order is (y0, equal within 2, then x0), ties by word_no. A column `height` of words stands for page_h."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("word_no", kind="stable").reset_index(drop=True)
-        med = sorted((pdf.y1 - pdf.y0).clip(lower=1).tolist())[len(pdf) // 2]
-        tol = max(4, 0.6 * med, 0.001 * page_h)
-        x0, y0, y1 = pdf.x0.tolist(), pdf.y0.tolist(), pdf.y1.tolist()
-        # The comparison is no order over a whole page, so it needs a comparator: no key sorts the same.
-        order = sorted(range(len(pdf)), key=cmp_to_key(lambda i, j: y0[i] - y0[j] if abs(y0[i] - y0[j]) > 2 else x0[i] - x0[j]))
-        line, top, low, out = -1, 0, 0, [0] * len(pdf)
-        for i in order:
-            if line < 0 or abs((y0[i] + y1[i]) / 2 - (top + low) / 2) > tol:
-                line, top, low = line + 1, y0[i], y1[i]
-            top, low = min(top, y0[i]), max(low, y1[i])
-            out[i] = line
-        return pd.DataFrame({"doc_id": pdf.doc_id, "page_no": pdf.page_no, "word_no": pdf.word_no, "line": out})
-
-    return words.select(*PAGE, "word_no", "x0", "y0", "y1").groupBy(*PAGE).applyInPandas(fold, "doc_id long, page_no int, word_no int, line int")
+        line = pd.Series(0, index=pdf.index)
+        for i, row in enumerate(rows_by_y(list(zip(pdf.x0.tolist(), pdf.y0.tolist(), pdf.x1.tolist(), pdf.y1.tolist(), strict=True)), int(pdf.height.iloc[0]))):
+            line[row] = i
+        return pd.DataFrame({"doc_id": pdf.doc_id, "page_no": pdf.page_no, "word_no": pdf.word_no, "line": line})
+
+    height = F.col("height") if "height" in words.columns else F.lit(page_h)
+    return words.select(*PAGE, "word_no", "x0", "y0", "x1", "y1", height.cast("int").alias("height")).groupBy(*PAGE).applyInPandas(fold, "doc_id long, page_no int, word_no int, line int")
 
 
 Q, O = {}, {}

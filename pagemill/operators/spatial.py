@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cmp_to_key
+
 #: Width and height of a cell, and of a stripe, in pixels.
 CELL_W, CELL_H, STRIPE_H = 128, 64, 16
 
@@ -66,3 +68,19 @@ class Stripes:
         if z - a > len(self.stripes):
             return sorted(self.known)
         return sorted({i for s in range(a, z + 1) for i in self.stripes.get(s, ())})
+
+
+def rows_by_y(boxes: list[tuple], page_h: float) -> list[list[int]]:
+    """Places of boxes in lines by centre heights: sorted by y0 (equal within 2, then x0), a new line where the centre leaves the last line's by more than a tolerance."""
+    med = sorted(max(1, b[3] - b[1]) for b in boxes)[len(boxes) // 2]
+    tol = max(4, 0.6 * med, 0.001 * page_h)
+    # The comparison is no order over a whole page, so it needs a comparator: no key sorts the same.
+    order = sorted(range(len(boxes)), key=cmp_to_key(lambda i, j: boxes[i][1] - boxes[j][1] if abs(boxes[i][1] - boxes[j][1]) > 2 else boxes[i][0] - boxes[j][0]))
+    out, top, low = [], 0.0, 0.0
+    for i in order:
+        if not out or abs((boxes[i][1] + boxes[i][3]) / 2 - (top + low) / 2) > tol:
+            out.append([])
+            top, low = boxes[i][1], boxes[i][3]
+        top, low = min(top, boxes[i][1]), max(low, boxes[i][3])
+        out[-1].append(i)
+    return out
