@@ -272,29 +272,6 @@ def tile_filter(words: DataFrame, masked: DataFrame, safe: DataFrame, size: int
     return w.where(off_picture(F.col("safe").isNotNull(), F.col("hit").isNotNull())).drop("hit", "safe")
 
 
-def picture_tiles(words: DataFrame, rasters: DataFrame, across: int, scale: int, tile: int) -> DataFrame:
-    """(doc_id, page_no, tiles): the picture tiles (tx, ty) of pages that have any, from rasters(doc_id, page_no, grey) and the words on them.
-
-    grey holds the rows of a page's raster one after the other, `across` values each, a value for every `scale` pixels;
-    a tile is `tile` values wide and high.
-    """
-    page = F.struct(*PAGE).alias("vec_id")
-    px = rasters.select(page, F.posexplode("grey").alias("at", "v")).select("vec_id", F.expr(f"at % {across}").alias("x"), F.expr(f"at div {across}").alias("y"), "v")
-    mask = fill_holes(tile_mask(with_words(tile_stats(px, tile, 1), words.select(page, "x0", "y0", "x1", "y1"), tile * scale)))
-    return mask.where("masked").groupBy("vec_id").agg(F.collect_set(F.struct(F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"))).alias("tiles")).select("vec_id.*", "tiles")
-
-
-def with_ground(words: DataFrame, across: int, scale: int, width: int = PAGE_W, height: int = PAGE_H) -> DataFrame:
-    """words(…, grey) with var, as background() has it, read from the raster in each word's row; 0 without a raster."""
-    w = sample_rect(words, width, height)
-    at = lambda c, i: f"cast(floor(q{c}0 + (q{c}1 - q{c}0) / 6 * ({i} + 1) + 0.5) as long)"
-    points = f"transform(sequence(0, 24), i -> struct({at('x', 'i % 5')} AS x, {at('y', 'i div 5')} AS y))"
-    shades = f"transform(filter({points}, p -> not (p.x between ix0 and ix1 and p.y between iy0 and iy1)), p -> cast(get(grey, cast(p.y div {scale} * {across} + p.x div {scale} as int)) as double))"
-    # One fold to the end, so that a filter on var evaluates it once a use.
-    var = f"aggregate({shades}, struct(0D AS n, 0D AS s, 0D AS s2), (a, v) -> struct(a.n + 1D AS n, a.s + v AS s, a.s2 + v * v AS s2), a -> if(a.n > 0, a.s2 / a.n - pow(a.s / a.n, 2), 0D))"
-    return w.withColumn("var", F.when(F.expr("grey is not null and qx1 > qx0 and qy1 > qy0"), F.expr(var)).otherwise(0.0)).select(*words.columns, "var")
-
-
 def _ground(s, d):
     """Words with a variance of their ground and a relative height; the recogniser's pages have no pictures, so both follow from the word's number."""
     return T.words(s, d).withColumns({"var": F.expr("(word_no * 37 + doc_id) % 1500"), "rel_h": F.expr("(y1 - y0) / 600.0D")})

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .operators import boxes, chunks, library, lines, recovery
+from .operators import boxes, chunks, library, lines, rasters, recovery
 from .plans import page
 from .streaming import cache
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (library, lines, boxes, chunks, recovery, page, cache):
+for _m in (library, lines, boxes, chunks, recovery, rasters, page, cache):
     QUERIES |= _m.Q
     ORACLES |= _m.O
