@@ -90,6 +90,14 @@ def words(c: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with as many underscores after it as make it new."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def text_key(c: Column) -> Column:
     """With the document id, tells rows apart: rows with equal id and text get equal results."""
     return F.when(c.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c))
@@ -111,6 +119,10 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, name:
     return joined.withColumn(out, F.col("before_") + F.col("at_") - F.col("first_")).drop("part_", "at_", "first_", "before_")
 
 
+#: A node with over one in HUBS of all edges is joined by broadcast.
+HUBS = 500
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of edges(a long, b long); component is the smallest node reachable.
 
@@ -119,13 +131,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     shared folder, which cuts its lineage.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, edges_now: int) -> DataFrame:
         if large:
             both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        j = both.join(low, "a")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        # Fewer than 2 * HUBS nodes can each have over one in HUBS of all edges: these are broadcast, so no task gets all neighbours of one.
+        hubs = F.broadcast(low.where(F.col("n") > edges_now / HUBS).drop("n"))
+        j = both.join(hubs, "a").unionByName(both.join(hubs.select("a"), "a", "left_anti").join(low.drop("n"), "a"))
         if large:
             return j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         own = low.where("a <> m").select("a", F.col("m").alias("b"))
@@ -139,7 +153,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        e = store(star(star(e, True), False), "edges")
+        grown = store(star(e, True, before[0]), "large")
+        e = store(star(grown, False, grown.count()), "edges")
         now = seen(e)
         if now == before:
             break

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, meet, store, text_key, words
+from .common import fresh, load, meet, store, text_key, words
 
 WINDOW, SLOP = 10, 2
 
@@ -131,10 +131,11 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 5) -> DataFrame
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without an exact occurrence of a benchmark window; null and wordless texts stay, repeated rows alike."""
-    _, found = occurrences(docs, benchmark)
-    bad = store(found.where("exact").select(row_id().alias("rid_"), F.col("dk").alias("dk_")).distinct(), "contaminated")
-    keyed = docs.withColumns({"rid_": row_id(), "dk_": text_key(F.col("text"))})
-    return meet(keyed, bad, ["rid_", "dk_"], "left_anti").select(*docs.columns)
+    _, found = occurrences(docs, benchmark, slop=0)  # near occurrences do not count here, so postings are not shifted
+    rid, dk = fresh("rid", docs.columns), fresh("dk", docs.columns)
+    bad = store(found.where("exact").select(row_id().alias(rid), F.col("dk").alias(dk)).distinct(), "contaminated")
+    keyed = docs.withColumns({rid: row_id(), dk: text_key(F.col("text"))})
+    return meet(keyed, bad, [rid, dk], "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

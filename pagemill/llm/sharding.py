@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, numbered, store
+from .common import fresh, load, numbered, store
 
 CELLS = 1024
 
@@ -99,14 +99,6 @@ def assign(docs: DataFrame, shards: int = 8, tolerance: float = 0.002) -> DataFr
     return out.select(*docs.columns, size, key, shard)
 
 
-def fresh(name: str, taken: list[str]) -> str:
-    """name, with as many underscores after it as make it new."""
-    low = {c.lower() for c in taken}
-    while name.lower() in low:
-        name += "_"
-    return name
-
-
 def slots(assigned: DataFrame) -> DataFrame:
     """Rows of an assigned table, whose last two columns are key and shard, exchanged once into their order, with slot, gapless from 0 in each shard."""
     key, shard = assigned.columns[-2:]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, meet, store, text_batches, text_key
+from .common import connected_components, fresh, load, meet, store, text_batches, text_key
 
 BITS = 4
 SEGMENTS = BITS + 1
@@ -32,8 +32,8 @@ EDGES = [round(i * 64 / SEGMENTS) for i in range(SEGMENTS + 1)]
 SHINGLE, LEAST, RADIUS = 5, 0.8, 26
 #: Two texts of similarity s share one of BANDS bands of ROWS minima with a chance of 1 - (1 - s^ROWS)^BANDS: 0.999997 at 0.8.
 ROWS, BANDS = 4, 24
-#: Texts of a group that one task compares; larger groups are compared chunk by chunk.
-CHUNK = 4096
+#: Texts, and bytes of them, of a group that one task compares; larger groups are compared chunk by chunk.
+CHUNK, CHUNK_BYTES = 4096, 64 << 20
 _rng = np.random.default_rng(7)
 _MUL, _ADD = _rng.integers(1, 1 << 63, ROWS * BANDS, dtype="u8") | np.uint64(1), _rng.integers(0, 1 << 63, ROWS * BANDS, dtype="u8")
 
@@ -102,11 +102,8 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = left ^ queue[0]
-            near = np.bitwise_count(x) <= BITS
-            if len(left) > 64:
-                near[near] = _within_ring(x[near])
-            else:
-                near &= _within_ring(x)
+            near = _within_ring(x)
+            near[near] = np.bitwise_count(x[near]) <= BITS
             top = queue.pop(0)
             queue += list(left[near])
             out += [(top, y) for y in left[near]]
@@ -124,8 +121,8 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = np.diff(np.r_[starts, len(key)])
         two = starts[sizes == 2]
         x = fp[two] ^ fp[two + 1]
-        near = (np.bitwise_count(x) <= BITS) & (x != 0)
-        near[near] = _within_ring(x[near])
+        near = (x != 0) & _within_ring(x)
+        near[near] = np.bitwise_count(x[near]) <= BITS
         a, b = [fp[two][near]], [fp[two + 1][near]]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             if pairs := _forest(np.unique(fp[s : s + n])):
@@ -198,7 +195,7 @@ def bands(text: str | None) -> list[int]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) as (doc_id, tk, wk, keys): the key of the text, of its words, and the bands."""
+    """docs(doc_id, text) as (doc_id, tk, wk, keys, bytes): the key of the text, of its words, the bands, and the text's bytes."""
     text_batches(docs.sparkSession)
 
     @F.pandas_udf("wk long, keys array<long>")
@@ -207,7 +204,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
             wk = np.array([xxhash.xxh3_64_intdigest(b" ".join(_words(x))) for x in t], dtype="u8").view("i8")
             yield pd.DataFrame({"wk": wk, "keys": pd.Series([bands(x) for x in t], dtype=object)})
 
-    return docs.select("doc_id", text_key(F.col("text")).alias("tk"), of(F.col("text")).alias("s")).select("doc_id", "tk", "s.wk", "s.keys")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")
+    return docs.select("doc_id", text_key(F.col("text")).alias("tk"), of(F.col("text")).alias("s"), size).select("doc_id", "tk", "s.wk", "s.keys", "bytes")
 
 
 def _set_fingerprint(h: np.ndarray) -> int:
@@ -238,12 +236,13 @@ def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links (a, b) over reps(wk, first, keys) that connect what all found pairs at LEAST or more connect; docs hold the texts."""
+    """Links (a, b) over reps(wk, first, keys, bytes) that connect what all found pairs at LEAST or more connect; docs hold the texts."""
     keyed = store(reps.select(F.explode("keys").alias("key"), "wk"), "bands")
     least = keyed.groupBy("key").agg(F.min("wk").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     edges = keyed.join(least, "key").where("wk <> least").select(F.col("least").alias("a"), F.col("wk").alias("b")).distinct()
     groups = store(connected_components(edges).withColumnRenamed("node", "wk"), "groups")
-    sizes = store(groups.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1"), "large")
+    held = groups.join(reps.select("wk", "bytes"), "wk").groupBy("component").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).alias("chunks"))
+    sizes = store(held.where("chunks > 1"), "large")
     some = meet(groups, sizes, ["component"], "left").join(reps.select("wk", "first"), "wk").select("component", F.coalesce("chunks", F.lit(1)).alias("chunks"), "wk", _rid("first.doc_id").alias("rid"), "first.tk")
     # Only texts with a candidate are exchanged, once a pair of chunks of their group.
     met = meet(docs.select(_rid("doc_id").alias("rid"), text_key(F.col("text")).alias("tk"), "text"), store(some, "candidates"), ["rid", "tk"])
@@ -267,7 +266,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     own = store(_keyed(docs), "keyed")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
-    reps = store(own.groupBy("wk").agg(F.min(first).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")), "words")
+    reps = store(own.groupBy("wk").agg(F.min(first).alias("first"), F.first("keys").alias("keys"), F.max("bytes").alias("bytes"), F.count("*").alias("n")), "words")
     parts = connected_components(near_links(docs, reps)).withColumnRenamed("node", "wk")
     near = store(parts.join(reps.select("wk", "first"), "wk"), "near")
     heads = near.groupBy("component").agg(F.min("first").alias("head"))
@@ -276,12 +275,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     twins = store(reps.where("n > 1").select("wk", "first"), "twins")
     lost = meet(own, losers, ["wk"], "left_semi").select("doc_id", "tk")
     other = meet(own, twins, ["wk"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk")))).select("doc_id", "tk")
-    gone = store(lost.unionByName(other).select(_rid("doc_id").alias("rid_"), F.col("tk").alias("tk_")).distinct(), "copies")
-    out = meet(docs.withColumns({"rid_": _rid("doc_id"), "tk_": text_key(F.col("text"))}), gone, ["rid_", "tk_"], "left_anti")
-    repeated = store(own.groupBy(_rid("doc_id").alias("rid_"), F.col("tk").alias("tk_")).count().where("count > 1").drop("count"), "repeated")
+    on = [fresh("rid", docs.columns), fresh("tk", docs.columns)]
+    keys = lambda df: df.select(_rid("doc_id").alias(on[0]), F.col("tk").alias(on[1]))
+    gone = store(keys(lost.unionByName(other)).distinct(), "copies")
+    out = meet(docs.withColumns({on[0]: _rid("doc_id"), on[1]: text_key(F.col("text"))}), gone, on, "left_anti")
+    repeated = store(keys(own).groupBy(*on).count().where("count > 1").drop("count"), "repeated")
     if not repeated.isEmpty():  # rows of equal id and text: only these are exchanged
-        some = meet(out, repeated, ["rid_", "tk_"], "left_semi").dropDuplicates(["rid_", "tk_"])
-        out = meet(out, repeated, ["rid_", "tk_"], "left_anti").unionByName(some)
+        some = meet(out, repeated, on, "left_semi").dropDuplicates(on)
+        out = meet(out, repeated, on, "left_anti").unionByName(some)
     return out.select(*docs.columns)
 
 

@@ -72,22 +72,29 @@ def _automaton(lexicon: Lexicon):
 
 def density(text: str | None, lexicon: Lexicon) -> float:
     """Sum of the weights of matches outside exception phrases, per 100 words (short texts count as 25 words)."""
-    folded, a = fold(text), _automaton(lexicon)
+    return _density(text, _automaton(lexicon))
+
+
+def _density(text: str | None, a) -> float:
+    folded = fold(text)
     if not len(a):
         return 0.0
     found = [(end - n + 1, end, w) for end, (n, w) in a.iter(folded)]
     if not found:
         return 0.0
-    spared = [(s, e) for s, e, w in found if w is None]
     best: dict[int, float] = {}
-    for s, e, w in found:
-        if w is not None and not any(s >= x and min(e, s + 1) <= y for x, y in spared):
+    reach = -1  # where the exception phrases that begin here or before end
+    for s, e, w in sorted(found, key=lambda f: (f[0], f[2] is not None)):
+        if w is None:
+            reach = max(reach, e)
+        elif min(e, s + 1) > reach:
             best[s] = max(best.get(s, 0.0), w)
     return 100 * sum(best.values()) / max(25, folded.count(" ") - 1)
 
 
 def score_texts(texts, lexicon: Lexicon) -> np.ndarray:
-    x = np.array([density(t, lexicon) for t in texts], dtype="f8")
+    a = _automaton(lexicon)  # looked up once: that hashes the whole lexicon
+    x = np.array([_density(t, a) for t in texts], dtype="f8")
     return 1 / (1 + np.exp(-np.clip(lexicon.bias + lexicon.slope * np.log1p(x), -30, 30)))
 
 
