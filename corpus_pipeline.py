@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import decontaminate, packing, secrets, simhash, toxicity
-from pagemill.llm.common import load, scratch_dir
+from pagemill.llm.common import fresh, load, scratch_dir
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; texts that are null or empty stay."""
-    scored = toxicity.score(docs, toxicity.learn(docs, load(spark, sf_dir, "labels")), out="toxicity_")
-    return scored.where(F.col("toxicity_") < 0.3).select(*docs.columns)
+    out = fresh("toxicity", docs.columns)
+    scored = toxicity.score(docs, toxicity.learn(docs, load(spark, sf_dir, "labels")), out=out)
+    return scored.where(F.col(out) < 0.3).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
