@@ -185,14 +185,14 @@ def otsu(px: DataFrame) -> DataFrame:
     return h.groupBy("vec_id").agg(F.coalesce(F.max_by("v", F.when(between > 0, F.struct(F.round(between, 6), -F.col("v")))), F.lit(128)).alias("threshold"))
 
 
-def text_layer(words: DataFrame, pdf_w: float = 595.0, pdf_h: float = 842.0) -> DataFrame:
-    """Words in page coordinates from the lower left, moved into the page, with a font size that fits their width."""
+def text_layer(words: DataFrame, pdf_w: float = 595.0, pdf_h: float = 842.0, keep: tuple = ()) -> DataFrame:
+    """Words in page coordinates from the lower left, moved into the page, with a font size that fits their width; of their other columns those of keep."""
     sx, sy = PAGE_W / pdf_w, PAGE_H / pdf_h
-    w = words.where("trim(text) <> ''").select("doc_id", "word_no", "text", (F.col("x0") / sx).alias("x"), (pdf_h - F.col("y1") / sy).alias("y"), ((F.col("x1") - F.col("x0")) / sx).alias("w"), ((F.col("y1") - F.col("y0")) / sy).alias("h"))
+    w = words.where("trim(text) <> ''").select("doc_id", "word_no", "text", *(c for c in keep if c != "text"), (F.col("x0") / sx).alias("x"), (pdf_h - F.col("y1") / sy).alias("y"), ((F.col("x1") - F.col("x0")) / sx).alias("w"), ((F.col("y1") - F.col("y0")) / sy).alias("h"))
     size, n = 0.85 * F.col("h"), F.length("text")
     w = w.withColumn("size", F.when(n * size * 0.5 > F.col("w"), F.col("w") / n / 0.5).otherwise(size)).where("w > 0 and h > 0 and size >= 1")
     inside = {"x": F.greatest(F.lit(0.0), F.least("x", pdf_w - F.col("w"))), "y": F.greatest(F.lit(0.0), F.least("y", pdf_h - F.col("size")))}
-    return w.withColumns(inside).drop("text")
+    return w.withColumns(inside) if "text" in keep else w.withColumns(inside).drop("text")
 
 
 Q, O = {}, {}

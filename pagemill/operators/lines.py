@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import alnum, cjk, js_number, non_latin, upper_median
@@ -17,20 +17,58 @@ GAP_BY_GAP, GAP_BY_HEIGHT = (1.6, 1.1), (0.9, 0.6)
 RESCAN_LINES, RESCAN_BELOW = (2, 4), (0.55, 0.62)
 
 
+def _split(tsv, first_dropped) -> Column:
+    """Rows of a text that are not blank, without the first where first_dropped(it) holds."""
+    rows = F.filter(F.split(tsv, "\n"), lambda x: x.rlike(r"(?U)[^\s]"))
+    return F.slice(rows, F.when(first_dropped(F.get(rows, F.lit(0))), 2).otherwise(1), F.lit(1 << 30))
+
+
+def _trimmed(text) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _whole(text) -> Column:
+    """The whole number that a text begins with; 0 without."""
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1), F.lit("")).cast("long"), F.lit(0))
+
+
+def _boxed_rows(rows: DataFrame) -> list[Column]:
+    return [F.col("x0"), F.col("y0"), (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1")]
+
+
 def parse_tsv(pages: DataFrame) -> DataFrame:
     """Rows of recogniser output: level, block_no, par_no, line_no, word_no, box, conf, text.
 
-    line_no holds the block and the paragraph too, in whose lines numbers start again. Rows of fewer than 12 columns and
-    the header go; tabs in texts stay; a confidence keeps its fraction.
+    line_no holds the block and the paragraph too, in whose lines numbers start again. The first row goes if it holds
+    "level" in any case, be it a header or not; blank rows and those of fewer than 12 columns go. Tabs in texts stay;
+    a confidence keeps its fraction.
     """
-    rows = pages.select(*PAGE, F.explode(F.filter(F.split("tsv", "\n"), lambda x: F.trim(x) != "")).alias("r"))
+    rows = pages.select(*PAGE, F.explode(_split("tsv", lambda x: F.contains(F.lower(x), F.lit("level")))).alias("r"))
     c = F.split("r", "\t", -1)
-    rows = rows.where((F.size(c) >= 12) & ~F.startswith("r", F.lit("level\t")))
-    num = lambda i: F.coalesce(F.nullif(F.regexp_extract(c[i], r"^\s*([+-]?\d+)", 1), F.lit("")).cast("long"), F.lit(0))
+    rows = rows.where(F.size(c) >= 12)
     at = {"level": 0, "block_no": 2, "par_no": 3, "in_par": 4, "word_no": 5, "x0": 6, "y0": 7, "w": 8, "h": 9}
-    out = rows.select(*PAGE, *(num(i).alias(n) for n, i in at.items()), F.coalesce(js_number(c[10]), F.lit(0.0)).alias("conf"), F.trim(F.array_join(F.slice(c, 12, 1000000), "\t")).alias("text"))
+    out = rows.select(*PAGE, *(_whole(c[i]).alias(n) for n, i in at.items()), F.coalesce(js_number(c[10]), F.lit(0.0)).alias("conf"), _trimmed(F.array_join(F.slice(c, 12, 1 << 30), "\t")).alias("text"))
     line = F.expr("(block_no * 1000000 + par_no) * 1000000 + in_par").alias("line_no")
-    return out.select(*PAGE, "level", "block_no", "par_no", line, "word_no", "text", "conf", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
+    return out.select(*PAGE, "level", "block_no", "par_no", line, "word_no", "text", "conf", *_boxed_rows(out))
+
+
+#: Columns that a header must name.
+NAMED = ("level", "left", "top", "width", "height", "conf", "text")
+
+
+def parse_tsv_by_header(pages: DataFrame) -> DataFrame:
+    """Rows of recogniser output whose columns stand where the page's own header names them: level, text, conf, box, and their place among the page's rows.
+
+    A page whose header lacks one of NAMED, or that has no row below it, gives nothing; rows too short to hold a text
+    go, and so do those without one.
+    """
+    head = F.split(F.get(F.split("tsv", "\n"), F.lit(0)), "\t", -1)
+    mapped = pages.select(*PAGE, "tsv", F.struct(*((F.array_position(head, n) - 1).cast("int").alias(n) for n in NAMED)).alias("at"))
+    mapped = mapped.where(" and ".join(f"at.{n} >= 0" for n in NAMED))
+    rows = mapped.select(*PAGE, "at", F.posexplode(F.slice(F.split("tsv", "\n"), 2, 1 << 30)).alias("row", "r")).withColumn("c", F.split("r", "\t", -1))
+    cell = lambda n: F.get("c", F.col(f"at.{n}"))
+    out = rows.where(F.size("c") > F.col("at.text")).select(*PAGE, "row", _whole(cell("level")).alias("level"), _trimmed(cell("text")).alias("text"), F.coalesce(js_number(cell("conf")), F.lit(0.0)).alias("conf"), *(_whole(cell(n)).alias(a) for n, a in (("left", "x0"), ("top", "y0"), ("width", "w"), ("height", "h"))))
+    return out.where("text <> ''").select(*PAGE, "row", "level", "text", "conf", *_boxed_rows(out))
 
 
 def by_line():
@@ -212,6 +250,29 @@ _tsv = lambda s, d: parse_tsv(T.tsv(T.words(s, d)))
 _TL = T.TSV_LINE.format(div="//")
 _q("tsv_words", lambda s, d: _tsv(s, d).where("level = 5").drop("level"), "w", f"SELECT doc_id, page_no, 1 + line_no // 10 AS block_no, 1 + line_no % 10 // 5 AS par_no, {_TL} AS line_no, k + 1 AS word_no, trim(text) AS text, conf + word_no % 10 / 10.0 AS conf, x0, y0, x1, y1 FROM w")
 _q("tsv_line_boxes", lambda s, d: _tsv(s, d).where("level = 4").select(*LINE, "x0", "y0", "x1", "y1"), "w lb", f"SELECT doc_id, page_no, {_TL} AS line_no, bx0 AS x0, by0 AS y0, bx1 AS x1, by1 AS y1 FROM lb")
+_HEAD = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"
+
+
+def _odd(s, d) -> DataFrame:
+    """Pages without a header, with one in capitals, or whose first row, a line box, holds the word in its text; short rows, blank ones, line ends of two characters, and texts with a tab."""
+    t = T.tsv(T.words(s, d).withColumn("text", F.expr("CASE WHEN word_no % 10 = 7 THEN concat(text, '\t', text) ELSE text END")))
+    rows = F.filter(F.split("tsv", "\n"), lambda x: x != "")
+    body = F.slice(rows, 2, 1 << 30)
+    trap = F.concat(F.array(F.concat(body[0], F.lit("sub-LEVEL"))), F.slice(body, 2, 1 << 30))
+    picked = F.when(F.expr("page_no % 3 = 0"), F.concat(F.array(F.lit(_HEAD.upper())), body)).when(F.expr("page_no % 3 = 1"), trap).otherwise(body)
+    return t.select(*PAGE, F.concat(F.array_join(picked, "\r\n"), F.lit("\r\n\t\t\t\t\t\t\t\t\t\t\t \r\n5\t1\t1\tshort\n")).alias("tsv"))
+
+
+def _turned(s, d) -> DataFrame:
+    """Pages whose columns stand the other way round on every other page, and whose header names one otherwise on every fifth."""
+    turned = F.array_join(F.transform(F.split("tsv", "\n"), lambda r: F.array_join(F.reverse(F.split(r, "\t", -1)), "\t")), "\n")
+    p = T.tsv(T.words(s, d)).select(*PAGE, F.when(F.expr("page_no % 2 = 1"), turned).otherwise(F.col("tsv")).alias("tsv"))
+    return p.withColumn("tsv", F.when(F.expr("(doc_id + page_no) % 5 = 3"), F.replace("tsv", F.lit("conf"), F.lit("certainty"))).otherwise(F.col("tsv")))
+
+
+_q("tsv_odd_rows", lambda s, d: parse_tsv(_odd(s, d)).where("level in (4, 5)").select(*LINE, "level", "word_no", "text", "x0", "y1"), "w lb", f"""SELECT doc_id, page_no, {_TL} AS line_no, 5 AS level, k + 1 AS word_no, CASE WHEN word_no % 10 = 7 THEN text || chr(9) || text ELSE text END AS text, x0, y1 FROM w
+  UNION ALL SELECT doc_id, page_no, {_TL}, 4, 0, '', bx0, by1 FROM lb WHERE page_no % 3 <> 1 OR line_no > 0""")
+_q("tsv_words_by_header", lambda s, d: parse_tsv_by_header(_turned(s, d)).where("level = 5").select(*PAGE, "text", "conf", "x0", "y0", "x1", "y1"), "w", "SELECT doc_id, page_no, text, conf + word_no % 10 / 10.0 AS conf, x0, y0, x1, y1 FROM w WHERE (doc_id + page_no) % 5 <> 3")
 _q("line_assembly", lambda s, d: assemble(T.words(s, d)), "w", f"SELECT {_K}, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_words, avg(conf) AS conf, string_agg(text, ' ' ORDER BY k) AS text FROM w GROUP BY ALL")
 _unknown = lambda w: w.withColumn("conf", F.expr("CASE WHEN k = 3 THEN -1 ELSE conf END"))
 _q("line_merge", lambda s, d: merge(_unknown(T.words(s, d)).withColumn("line_no", F.expr("line_no div 2"))), "w", "SELECT doc_id, page_no, line_no // 2 AS line_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum(CASE WHEN k = 3 THEN -1 ELSE conf END) / count(*) AS conf FROM w GROUP BY ALL")
