@@ -83,12 +83,14 @@ def retry_merge(words: DataFrame, found: DataFrame, few: int = 6, least: float =
     return again.select(*PAGE, "word_no").join(best, [*PAGE, "word_no"], "left")
 
 
-def region_type(words, aspect, rel_h, conf):
-    """sfx for few tall uncertain words, balloon for compact text, else text."""
-    return F.when((words <= 3) & (rel_h > 0.1) & (conf < 70), "sfx").when(aspect.between(0.3, 3.5) & (words >= 1) & (conf >= 20), "balloon").otherwise("text")
+def region_type(text, aspect, rel_h, conf, document=False):
+    """text in a document; else sfx for few tall uncertain words, balloon for compact text, and text for the rest."""
+    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    drawn = F.when((words <= 3) & (rel_h > 0.1) & (conf < 70), "sfx").when(aspect.between(0.3, 3.5) & (words >= 1) & (conf >= 20), "balloon").otherwise("text")
+    return F.when(F.lit(document) if isinstance(document, bool) else document, "text").otherwise(drawn)
 
 
-def regions(words: DataFrame, page_w: int = PAGE_W, page_h: int = PAGE_H) -> DataFrame:
+def regions(words: DataFrame, page_w: int = PAGE_W, page_h: int = PAGE_H, document: bool = False) -> DataFrame:
     """Words grouped first-fit into boxes that grow: beside (x gap under .05 of the width) or below (.02 of the height); a fold of each page in the order of y0 with a tolerance of .02 of the height, then x0."""
     tol = 0.02 * page_h
 
@@ -120,7 +122,7 @@ def regions(words: DataFrame, page_w: int = PAGE_W, page_h: int = PAGE_H) -> Dat
     out = words.select(*PAGE, "word_no", "x0", "y0", "x1", "y1", "conf", "text").groupBy(*PAGE).applyInPandas(fold, "doc_id long, page_no int, region int, x0 long, y0 long, x1 long, y1 long, n_words long, conf double, text string")
     out = out.where("trim(text) <> '' and conf >= 0.2")
     h = F.col("y1") - F.col("y0")
-    return out.withColumn("type", region_type(F.col("n_words"), (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1), h), h / page_h, F.col("conf") * 100))
+    return out.withColumn("type", region_type(F.col("text"), (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1), h), h / page_h, F.col("conf") * 100, document))
 
 
 def tile_stats(px: DataFrame, tile: int = 44, step: int = 2) -> DataFrame:
@@ -212,10 +214,9 @@ _BEST = "SELECT * FROM (WITH {ln} SELECT doc_id, page_no, lkey, rkey, score FROM
 _q("best_line_for_box", lambda s, d: best_overlap(_as(_moved(_lines(s, d)), "line_no", "y0", "y1", "l"), _as(_lines(s, d), "line_no", "y0", "y1", "r"), LINE_FOR_BOX), "w", _BEST.format(ln=_LN, t=LINE_FOR_BOX))
 _q("best_box_for_line", lambda s, d: best_overlap(_as(_moved(_lines(s, d)), "line_no", "y0", "y1", "l"), _as(T.line_boxes(T.words(s, d)), "line_no", "by0", "by1", "r"), BOX_FOR_LINE), "w", _BEST.format(ln=_LN, t=BOX_FOR_LINE))
 _shift = lambda w: w.where("word_no % 5 = 0").withColumns({"x0": F.expr("x0 + word_no % 30"), "x1": F.expr("x1 + word_no % 30"), "word_no": F.expr("word_no + 100000")})
-_PAIR = """SELECT * FROM (WITH f AS (SELECT doc_id, page_no, word_no + 100000 AS bno, x0 + word_no % 30 AS bx0, y0 AS by0, x1 + word_no % 30 AS bx1, y1 AS by1 FROM w WHERE word_no % 5 = 0),
-  fs AS (SELECT *, unnest(range(by0 // 32, by1 // 32 + 1)) AS s FROM f), ws AS (SELECT *, unnest(range(y0 // 32, y1 // 32 + 1)) AS s FROM w),
-  fc AS (SELECT *, unnest(range(bx0 // 100, bx1 // 100 + 1)) AS t FROM fs), wc AS (SELECT *, unnest(range(x0 // 100, x1 // 100 + 1)) AS t FROM ws),
-  p AS (SELECT DISTINCT doc_id, page_no, bno, word_no AS ano, (least(x1, bx1) - greatest(x0, bx0)) * (least(y1, by1) - greatest(y0, by0)) AS i, (x1 - x0) * (y1 - y0) + (bx1 - bx0) * (by1 - by0) AS t FROM fc JOIN wc USING (doc_id, page_no, s, t) WHERE x0 < bx1 AND bx0 < x1 AND y0 < by1 AND by0 < y1)
+#: Words of different lines stand apart, so pairs are those of a line.
+_PAIR = """SELECT * FROM (WITH f AS (SELECT doc_id, page_no, line_no, word_no + 100000 AS bno, x0 + word_no % 30 AS bx0, y0 AS by0, x1 + word_no % 30 AS bx1, y1 AS by1 FROM w WHERE word_no % 5 = 0),
+  p AS (SELECT doc_id, bno, word_no AS ano, (least(x1, bx1) - greatest(x0, bx0)) * (least(y1, by1) - greatest(y0, by0)) AS i, (x1 - x0) * (y1 - y0) + (bx1 - bx0) * (by1 - by0) AS t FROM f JOIN w USING (doc_id, page_no, line_no) WHERE x0 < bx1 AND bx0 < x1 AND y0 < by1 AND by0 < y1)
   {})"""
 _q("bbox_iou_pairs", lambda s, d: near_pairs(T.words(s, d), _shift(T.words(s, d))).select("doc_id", "ano", "bno", "iou"), "w", _PAIR.format("SELECT doc_id, ano, bno, i / (t - i) AS iou FROM p"))
 _q("iou_dedup_existing", lambda s, d: new_words(T.words(s, d), _shift(T.words(s, d))).select("doc_id", "word_no"), "w", _PAIR.format("SELECT doc_id, bno AS word_no FROM f ANTI JOIN (SELECT doc_id, bno FROM p WHERE i / (t - i) >= 0.6) USING (doc_id, bno)"))
@@ -295,7 +296,7 @@ _A = "regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')"
 _q("photo_filter", lambda s, d: photo_filter(_ground(s, d), _safe(s, d)).select("doc_id", "word_no"), "w", f"SELECT doc_id, word_no FROM w WHERE ({_SAFE}) OR (y1 - y0) / 600.0 >= 0.06 OR (regexp_matches({_A}, '[^\\x00-\\x7F]') AND conf >= 55) OR NOT ((word_no * 37 + doc_id) % 1500 > 850 AND (y1 - y0) / 600.0 < 0.028 AND conf < 80)")
 _q("tile_filter", lambda s, d: tile_filter(_ground(s, d), _masked(s, d), _safe(s, d)).select("doc_id", "word_no"), "w", f"""SELECT doc_id, word_no FROM (SELECT *, ({_SAFE}) AS safe, (y1 - y0) / 600.0 AS rh, list_bool_or(flatten(list_transform(range(x0 // 128, x1 // 128 + 1), lambda t: list_transform(range(y0 // 128, y1 // 128 + 1), lambda u: (t + u + doc_id) % 3 = 0)))) AS hit, length({_A}) AS a, regexp_matches({_A}, '[^\\x00-\\x7F]') AS nl FROM w)
   WHERE NOT CASE WHEN rh >= 0.045 AND conf >= 80 THEN false WHEN safe OR NOT hit THEN false WHEN NOT nl THEN a BETWEEN 1 AND 2 AND rh <= 0.02 AND conf < 70 WHEN (word_no * 37 + doc_id) % 1500 <= 850 THEN false ELSE conf < 70 AND (rh <= 0.02 OR greatest(1, x1 - x0) / greatest(1, y1 - y0) >= 18) END""")
-_q("classify_region", lambda s, d: T.words(s, d).select("doc_id", "word_no", region_type(F.expr("k % 5"), F.expr("(x1 - x0) / greatest(1, y1 - y0)"), F.expr("(y1 - y0) * (1 + k) / 600.0D"), F.col("conf")).alias("type")), "w", "SELECT doc_id, word_no, CASE WHEN k % 5 <= 3 AND (y1 - y0) * (1 + k) / 600.0 > 0.1 AND conf < 70 THEN 'sfx' WHEN (x1 - x0) / greatest(1, y1 - y0) BETWEEN 0.3 AND 3.5 AND k % 5 >= 1 AND conf >= 20 THEN 'balloon' ELSE 'text' END AS type FROM w")
+_q("classify_region", lambda s, d: T.words(s, d).select("doc_id", "word_no", region_type(F.expr("repeat(concat(text, ' \t'), k % 5)"), F.expr("(x1 - x0) / greatest(1, y1 - y0)"), F.expr("(y1 - y0) * (1 + k) / 600.0D"), F.col("conf"), F.expr("doc_id % 4 = 0")).alias("type")), "w", "SELECT doc_id, word_no, CASE WHEN doc_id % 4 = 0 THEN 'text' WHEN k % 5 <= 3 AND (y1 - y0) * (1 + k) / 600.0 > 0.1 AND conf < 70 THEN 'sfx' WHEN (x1 - x0) / greatest(1, y1 - y0) BETWEEN 0.3 AND 3.5 AND k % 5 >= 1 AND conf >= 20 THEN 'balloon' ELSE 'text' END AS type FROM w")
 _q("regions", lambda s, d: regions(T.words(s, d)))
 
 
@@ -318,6 +319,8 @@ def _fallback(s, d):
 
 
 _q("region_fallback", _fallback)
+_q("region_fallback_blocks", lambda s, d: fallback(regions(T.words(s, d).where("false")), assemble((w := T.words(s, d)).where("doc_id % 3 = 1")).withColumn("text", F.expr("if(line_no % 2 = 0 or page_no % 3 = 0, text, ' ')")), w.groupBy(*PAGE).agg(F.avg(F.expr("if(doc_id % 5 = 0, 0, conf)")).alias("conf"))), "w", f"""SELECT * FROM (WITH l AS (SELECT doc_id, page_no, line_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, avg(conf) AS conf FROM w WHERE doc_id % 3 = 1 GROUP BY ALL HAVING line_no % 2 = 0 OR page_no % 3 = 0)
+  SELECT doc_id, page_no, 'block' AS kind, x0, y0, x1, y1, conf / 100 AS conf FROM l WHERE conf >= 20 UNION ALL SELECT doc_id, page_no, 'page', 0, 0, {PAGE_W}, {PAGE_H}, CASE WHEN doc_id % 5 = 0 OR sum(conf) = 0 THEN 0.5 ELSE avg(conf) / 100 END FROM w ANTI JOIN l USING (doc_id, page_no) GROUP BY doc_id, page_no)""")
 _beyond = lambda w: w.withColumns({c: F.expr(f"{c} + 40 * (word_no % 9)") for c in ("x0", "x1")})
 _q("text_layer", lambda s, d: text_layer(_beyond(T.words(s, d))), "w", f"""SELECT doc_id, word_no, greatest(0.0, least(x, 595.0 - w)) AS x, greatest(0.0, least(y, 842.0 - size)) AS y, w, h, size FROM (SELECT *, least(0.85 * h, w / n / 0.5) AS size FROM (
   SELECT doc_id, word_no, length(text) AS n, (x0 + 40 * (word_no % 9)) * 595.0 / {PAGE_W} AS x, 842.0 - y1 * 842.0 / {PAGE_H} AS y, (x1 - x0) * 595.0 / {PAGE_W} AS w, (y1 - y0) * 842.0 / {PAGE_H} AS h FROM w)) WHERE size >= 1""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import contains_ascii, file_age, file_size
@@ -87,6 +87,16 @@ def patch(docs: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*(F.when(F.coalesce(f"has_{x}", F.lit(False)), F.col(f"new_{x}")).otherwise(F.col(x)).alias(x) if x in columns else F.col(x) for x in docs.columns))
 
 
+def patch_projects(projects: DataFrame, changes: DataFrame, columns: list[str], now: int) -> DataFrame:
+    """patch() of projects(…, updated_at): those in changes are updated now, whatever changes of them."""
+    named = changes.withColumns({"has_updated_at": F.lit(True), "updated_at": F.lit(now).cast("long")})
+    return patch(projects, named, [*columns, "updated_at"])
+
+
+def _described(s, d) -> DataFrame:
+    return T.places(s, d).select("id", "name", F.concat(F.lit("of "), "name").alias("description"), F.col("id").alias("updated_at"))
+
+
 def sanitize_path(c):
     return F.replace(F.replace(c, F.lit("../"), F.lit("")), F.lit("..\\"), F.lit(""))
 
@@ -110,8 +120,9 @@ _docs = lambda s, d: with_tags(T.documents(s, d), T.document_tags(s, d), T.tags(
 
 
 def _few(docs: DataFrame, s, d) -> DataFrame:
-    """Limit first, so that tags are looked up for the few rows only."""
-    return with_tags(docs, T.document_tags(s, d), T.tags(s))
+    """Limit first, so that links of the few rows only are aggregated."""
+    own = T.document_tags(s, d).join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    return with_tags(docs, own, T.tags(s))
 
 
 _q("scan_tags", "SELECT id, name, color FROM tags ORDER BY name", "tags")(lambda s, d: T.tags(s).orderBy("name"))
@@ -227,12 +238,40 @@ _q("chunk_plan", "SELECT id, c AS chunk, c * 3800 AS y0, least(h, c * 3800 + 400
 )
 
 
-#: Fixed value: the text of a request.
+_q("scan_places", "SELECT id, name, parent_id FROM places ORDER BY name, id", "places")(lambda s, d: T.places(s, d).orderBy("name", "id"))
+_q("place_children", "SELECT id, name, parent_id FROM places WHERE parent_id = 102 OR parent_id IS NULL", "places")(lambda s, d: T.places(s, d).where("parent_id = 102 or parent_id is null"))
+_q("place_tree", "SELECT p.id, CASE WHEN p.id = 2 THEN 0 WHEN p.parent_id = 2 THEN 1 ELSE 2 END AS depth FROM places p LEFT JOIN places q ON p.parent_id = q.id WHERE 2 IN (p.id, p.parent_id, q.parent_id)", "places")(lambda s, d: subtree(T.places(s, d), 2))
+_q("place_patch", f"SELECT id, CASE WHEN id % 6 = 0 THEN 'renamed' ELSE name END AS name, CASE WHEN id % 12 = 3 THEN NULL WHEN id % 6 = 3 THEN 'told' ELSE 'of ' || name END AS description, CASE WHEN id % 3 = 0 THEN {NOW} ELSE id END AS updated_at FROM places", "places")(
+    lambda s, d: patch_projects(_described(s, d), _described(s, d).where("id % 3 = 0").select("id", F.expr("id % 6 = 0").alias("has_name"), F.lit("renamed").alias("name"), F.expr("id % 6 = 3").alias("has_description"), F.expr("if(id % 12 = 3, null, 'told')").alias("description")), ["name", "description"], NOW)
+)
+#: What a translator is told of either mode.
+TRANSLATOR = {
+    "manga": 'You are a professional manga translator. Translate to Thai. Use informal, emotional language with particles like "นะ", "โว้ย". If the type is "sfx", explain the sound in brackets like [เสียงสั่นสะเทือน].',
+    "document": "You are a professional document translator. Translate to Thai. Use formal, polite language suitable for official documents.",
+}
+#: Tries of a request, and the wait after the first that fails, which doubles.
+TRIES, WAIT_MS = 5, 1000
+
+
+def requests(regions: DataFrame, mode: Column, kind: Column) -> DataFrame:
+    """regions(…, text) of 1 to 9999 characters with the request for each: prompt, what its mode tells the translator, and the waits between tries in ms."""
+    told = F.when(F.coalesce(mode, F.lit("manga")) == "manga", TRANSLATOR["manga"]).otherwise(TRANSLATOR["document"])
+    waits = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 2)), lambda i: (F.lit(WAIT_MS) * F.pow(F.lit(2), i)).cast("long"))
+    prompt = F.concat(F.lit('Translate this text: "'), "text", F.lit('" (Type: '), F.coalesce(kind, F.lit("text")), F.lit(")"))
+    return regions.where(F.length("text").between(1, 9999)).withColumns({"prompt": prompt, "system_prompt": told, "waits_ms": waits})
+
+
+def answers(replies: DataFrame) -> DataFrame:
+    """replies(…, reply) whose empty or missing texts are 'No response'."""
+    return replies.withColumn("reply", F.coalesce(F.nullif("reply", F.lit("")), F.lit("No response")))
+
+
 def _prompts(s, d):
-    c = T.table(s, d, "conversations").where("text is not null and text <> ''")
-    kind = F.when(F.col("role") == "user", "balloon").otherwise("text")
-    return c.select("conv_id", "turn", F.concat(F.lit('Translate this text: "'), "text", F.lit('" (Type: '), kind, F.lit(")")).alias("prompt"), F.expr("slice(array(1000, 2000, 4000, 8000), 1, 4)").getItem(3).alias("last_wait_ms"))
+    c = T.table(s, d, "conversations")
+    asked = requests(c, F.expr("CASE conv_id % 3 WHEN 0 THEN 'manga' WHEN 1 THEN 'document' END"), F.expr("CASE role WHEN 'user' THEN 'balloon' WHEN 'system' THEN 'sfx' END"))
+    return asked.select("conv_id", "turn", "prompt", "system_prompt", F.array_join(F.transform("waits_ms", lambda x: x.cast("string")), ",").alias("waits_ms"))
 
 
-_q("translate_requests", """SELECT conv_id, turn, 'Translate this text: "' || text || '" (Type: ' || CASE role WHEN 'user' THEN 'balloon' ELSE 'text' END || ')' AS prompt, 8000 AS last_wait_ms FROM conversations WHERE text <> ''""")(_prompts)
+_q("translate_requests", f"""SELECT conv_id, turn, 'Translate this text: "' || text || '" (Type: ' || CASE role WHEN 'user' THEN 'balloon' WHEN 'system' THEN 'sfx' ELSE 'text' END || ')' AS prompt, CASE WHEN conv_id % 3 = 1 THEN '{TRANSLATOR["document"]}' ELSE '{TRANSLATOR["manga"]}' END AS system_prompt, '1000,2000,4000,8000' AS waits_ms FROM conversations WHERE length(text) BETWEEN 1 AND 9999""")(_prompts)
+_q("translate_answers", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'No response' ELSE text END AS reply FROM conversations")(lambda s, d: answers(T.table(s, d, "conversations").select("conv_id", "turn", F.expr("CASE WHEN turn % 6 = 0 THEN '' WHEN turn % 3 = 0 THEN NULL ELSE text END").alias("reply"))))
 _q("file_source_meta", None)(lambda s, d: files(s, d, "*n.parquet").select("name", "size", "mime_type", F.md5("data").alias("base64_md5"), F.sha2(content(F.col("data")), 256).alias("sha256")))

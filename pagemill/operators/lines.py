@@ -149,10 +149,10 @@ def split_lines(words: DataFrame) -> DataFrame:
     return w.withColumn("seg", F.coalesce(F.sum("cut").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).drop("cut", "before")
 
 
-def rebuild(words: DataFrame) -> DataFrame:
-    """Lines of the words that are left, split at wide gaps: line_no, seg, box, conf, text, and their place by y0 on the page."""
+def rebuild(words: DataFrame, *more: Column) -> DataFrame:
+    """Lines of the words that are left, split at wide gaps: line_no, seg, box, conf, text, more aggregates, and their place by y0 on the page."""
     w = ordered(split_lines(words)).withColumn("seg", F.col("seg").cast("long"))
-    lines = w.groupBy(*LINE, "seg").agg(*_boxed(), F.count("*").alias("n_words"), F.avg("conf").alias("conf"), F.array_join(F.sort_array(F.collect_list(F.struct("pos", "text")))["text"], " ").alias("text"))
+    lines = w.groupBy(*LINE, "seg").agg(*_boxed(), F.count("*").alias("n_words"), F.avg("conf").alias("conf"), F.array_join(F.sort_array(F.collect_list(F.struct("pos", "text")))["text"], " ").alias("text"), *more)
     return lines.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0", "line_no", "seg")) - 1)
 
 
@@ -212,6 +212,19 @@ def rescan(words: DataFrame, boxes: DataFrame, cjk: bool = False) -> DataFrame:
     return c.withColumn("r", F.row_number().over(Window.partitionBy(*PAGE).orderBy("coverage", "line_no"))).where(F.col("r") <= RESCAN_LINES[cjk])
 
 
+def recovered(words: DataFrame, cjk: bool = False) -> DataFrame:
+    """words with what a later pass takes of them: gap, empty_line and rescan.
+
+    A token for a gap has confidence 60 and one or two letters or digits, up to six if one of these is not ASCII; a word
+    for an empty line confidence 60 and any text; one for a rescanned line a letter or digit, and confidence 55 (60 of
+    CJK pages).
+    """
+    a = alnum(_trimmed(F.col("text")))
+    n, sure = F.length(a), F.col("conf") >= 60
+    fits = {"gap": sure & n.between(1, F.when(non_latin(a), 6).otherwise(2)), "empty_line": sure & (_trimmed(F.col("text")) != ""), "rescan": (F.col("conf") >= (60 if cjk else 55)) & (n > 0)}
+    return words.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in fits.items()})
+
+
 def budget(found: DataFrame, per_line: int = 3, per_page: int = 20) -> DataFrame:
     """Gaps within the budgets of a line and a page, in the order of lines."""
     g = found.withColumn("i", F.row_number().over(Window.partitionBy(*LINE).orderBy("gx0", "gx1"))).where(F.col("i") <= per_line)
@@ -302,7 +315,7 @@ _q("noise_filter", lambda s, d: clean_noise(_small(T.words(s, d))).select("doc_i
   WHEN k = 0 AND n <= 2 AND conf < 70 THEN NOT (r < 0.75 OR regexp_matches(a, '^[mMbB]+$') OR regexp_matches(a, '^[iIl1]+$')) ELSE true END""")
 _q("protected_words", lambda s, d: protected(T.words(s, d), assemble(T.words(s, d))).select("doc_id", "word_no"), "w", f"SELECT doc_id, word_no FROM w JOIN (SELECT {_K} FROM w GROUP BY ALL HAVING count(*) >= 2 OR avg(conf) >= 65) USING ({_K})")
 _q("empty_lines", lambda s, d: (b := T.line_boxes(T.words(s, d))).join(T.words(s, d).where("line_no % 9 <> 4"), LINE, "left_anti").withColumn("r", F.row_number().over(Window.partitionBy(*PAGE).orderBy("line_no"))).where("r <= 8").select(*LINE, "r"), "w lb", f"SELECT {_K}, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS r FROM lb WHERE line_no % 9 = 4")
-_q("recovered_filter", lambda s, d: T.words(s, d).where((F.col("conf") >= 60) & (F.length(alnum(F.col("text"))) > 0) & (F.length(alnum(F.col("text"))) <= F.when(non_latin(F.col("text")), 6).otherwise(2))).select("doc_id", "word_no"), "w", "SELECT doc_id, word_no FROM (SELECT *, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS n FROM w) WHERE conf >= 60 AND n > 0 AND n <= CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 6 ELSE 2 END")
+_q("recovered_filter", lambda s, d: recovered(T.words(s, d)).where("gap or empty_line or rescan").select("doc_id", "word_no", "gap", "empty_line", "rescan"), "w", "SELECT * FROM (SELECT doc_id, word_no, conf >= 60 AND n BETWEEN 1 AND CASE WHEN regexp_matches(a, '[^\\x00-\\x7F]') THEN 6 ELSE 2 END AS gap, conf >= 60 AND trim(text) <> '' AS empty_line, conf >= 55 AND n > 0 AS rescan FROM (SELECT *, length(a) AS n FROM (SELECT *, regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g') AS a FROM w))) WHERE gap OR empty_line OR rescan")
 _q("rebuild_lines", lambda s, d: rebuild(T.words(s, d).where("word_no % 7 <> 2")).select(*LINE, "seg", "x0", "x1", "n_words", "text", "place"), "w", f"""SELECT {_K}, seg, min(x0) AS x0, max(x1) AS x1, count(*) AS n_words, string_agg(text, ' ' ORDER BY k) AS text, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY min(y0), line_no, seg) - 1 AS place FROM (
   SELECT *, coalesce(sum((gap > greatest(18.0, 2.6 * mh))::INT) OVER (PARTITION BY {_K} ORDER BY k), 0)::BIGINT AS seg FROM (
   SELECT *, x0 - lag(x1) OVER (PARTITION BY {_K} ORDER BY k) AS gap, h[len(h) // 2 + 1] AS mh FROM (SELECT *, list_sort(list(y1 - y0) OVER (PARTITION BY {_K})) AS h FROM w WHERE word_no % 7 <> 2))) GROUP BY {_K}, seg""")

@@ -47,6 +47,14 @@ def projects(spark) -> DataFrame:
     return p.select("id", F.concat(F.lit("Project "), F.col("id").cast("string")).alias("name"), parent.alias("parent_id"))
 
 
+def places(spark, sf_dir) -> DataFrame:
+    """Projects in three levels: regions, the nations in them, and the suppliers of these."""
+    r = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1).cast("long").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("long").alias("parent_id"))
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("id"), F.col("n_name").alias("name"), (F.col("n_regionkey") + 1).cast("long").alias("parent_id"))
+    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000).alias("id"), F.col("s_name").alias("name"), (F.col("s_nationkey") + 100).cast("long").alias("parent_id"))
+    return r.unionByName(n).unionByName(s)
+
+
 def words(spark, sf_dir) -> DataFrame:
     """A row per word of every page: doc_id, page_no, line_no, k (place in the line), word_no, text, conf and box."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != "")).alias("word_no", "text"))
@@ -66,7 +74,12 @@ def line_boxes(w: DataFrame) -> DataFrame:
     return g.select(*LINE, (F.col("x0") - 40).alias("bx0"), F.col("y0").alias("by0"), (F.col("x1") + 40).alias("bx1"), F.col("y1").alias("by1"))
 
 
-def tsv(w: DataFrame) -> DataFrame:
+def tsv_of(w: DataFrame, boxes: DataFrame) -> DataFrame:
+    """tsv() of words with line boxes of their own, box(x0, y0, x1, y1)."""
+    return tsv(w, boxes.select(*LINE, *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1"))))
+
+
+def tsv(w: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """Recogniser output: one text per page, a header, a level-4 row per line and a level-5 row per word.
 
     Ten lines are a block and five a paragraph, whose lines are counted from 0 again; confidences have a fraction.
@@ -74,7 +87,7 @@ def tsv(w: DataFrame) -> DataFrame:
     block, par, no = F.expr("1 + line_no div 10"), F.expr("1 + line_no % 10 div 5"), F.expr("line_no % 5")
     row = lambda level, conf, text, at, x0, y0, x1, y1: F.concat_ws("\t", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in (F.lit(level), F.expr("page_no + 1"), block, par, no, at, x0, y0, F.expr(f"{x1} - {x0}"), F.expr(f"{y1} - {y0}"), conf, text)))
     word = w.select("doc_id", "page_no", "line_no", F.expr("k + 1").alias("at"), row("5", F.concat(F.col("conf").cast("string"), F.lit("."), F.expr("word_no % 10").cast("string")), "text", F.expr("k + 1"), "x0", "y0", "x1", "y1").alias("r"))
-    line = line_boxes(w).select("doc_id", "page_no", "line_no", F.lit(0).alias("at"), row("4", F.lit("-1"), F.lit(""), F.lit("0"), "bx0", "by0", "bx1", "by1").alias("r"))
+    line = (line_boxes(w) if boxes is None else boxes).select("doc_id", "page_no", "line_no", F.lit(0).alias("at"), row("4", F.lit("-1"), F.lit(""), F.lit("0"), "bx0", "by0", "bx1", "by1").alias("r"))
     pages = word.unionByName(line).groupBy("doc_id", "page_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "at", "r"))).alias("rows"))
     head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"
     return pages.select("doc_id", "page_no", F.concat_ws("\n", F.lit(head), F.array_join("rows.r", "\n"), F.lit("")).alias("tsv"))
@@ -108,6 +121,7 @@ SQL = {
     "tags": "tags AS (SELECT * FROM (VALUES " + ", ".join(f"({i + 1}::BIGINT, '{n}', '{c}')" for i, (n, c) in enumerate(SEED_TAGS)) + ") t(id, name, color))",
     "dt": "dt AS (SELECT doc_id + 1 AS document_id, t AS tag_id FROM documents, range(1, 7) r(t) WHERE (doc_id + 1) * t % 4 = 1)",
     "projects": "projects AS (SELECT i AS id, 'Project ' || i AS name, CASE WHEN i > 12 THEN i - 8 WHEN i > 4 THEN (i - 1) % 4 + 1 END AS parent_id FROM range(1, 21) r(i))",
+    "places": "places AS (SELECT r_regionkey::BIGINT + 1 AS id, r_name AS name, NULL::BIGINT AS parent_id FROM region UNION ALL SELECT n_nationkey::BIGINT + 100, n_name, n_regionkey::BIGINT + 1 FROM nation UNION ALL SELECT s_suppkey + 1000, s_name, s_nationkey::BIGINT + 100 FROM supplier)",
     "w": f"""w0 AS (SELECT doc_id, unnest({_WS}) AS text, unnest(range(len({_WS}))) AS word_no FROM documents),
         w1 AS (SELECT *, word_no // 200 AS page_no, word_no % 200 // 10 AS line_no, word_no % 10 AS k, length(text) AS n FROM w0),
         w2 AS (SELECT *, coalesce(sum(8 * n + 6 + CASE WHEN k = 6 THEN 60 ELSE 0 END) OVER (PARTITION BY doc_id, page_no, line_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x0,
