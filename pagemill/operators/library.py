@@ -143,18 +143,18 @@ def _by_path(s, d, path: str) -> DataFrame:
 
 _q("doc_by_path", f"SELECT {_ALL} FROM lib WHERE filepath = '/lib/src3/3.pdf' LIMIT 1", "lib")(lambda s, d: _by_path(s, d, "/lib/src3/3.pdf"))
 _q("doc_by_id", f"SELECT {_ALL} FROM lib WHERE id = 42", "lib")(lambda s, d: _by_id(s, d, 42))
-_q("docs_recent", _TAGGED + " ORDER BY last_accessed DESC, id LIMIT 20", "lib tags dt")(lambda s, d: _few(T.documents(s, d).orderBy(F.desc("last_accessed"), "id").limit(20), s, d))
+_q("docs_recent", _TAGGED + " ORDER BY last_accessed DESC, id LIMIT 20", "lib tags dt")(lambda s, d: _few(T.documents(s, d).orderBy(F.desc("last_accessed"), "id").limit(20), s, d).orderBy(F.desc("last_accessed"), "id"))
 _q("recent_visible", f"SELECT * FROM (SELECT {_ALL} FROM lib ORDER BY last_accessed DESC, id LIMIT 50) WHERE NOT starts_with(filepath, 'virtual://')", "lib")(
     lambda s, d: T.documents(s, d).orderBy(F.desc("last_accessed"), "id").limit(50).where("not startswith(filepath, 'virtual://')")
 )
-_q("docs_by_project", _TAGGED + " WHERE project_id = 4", "lib tags dt")(lambda s, d: _few(T.documents(s, d).where("project_id = 4"), s, d))
-_q("docs_root", _TAGGED + " WHERE project_id IS NULL", "lib tags dt")(lambda s, d: _few(T.documents(s, d).where("project_id is null"), s, d))
-_q("docs_favorites", _TAGGED + " WHERE is_favorite = 1", "lib tags dt")(lambda s, d: _few(T.documents(s, d).where("is_favorite = 1"), s, d))
-_q("docs_search", _TAGGED + " WHERE translate(filename, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%de_1%'", "lib tags dt")(
-    lambda s, d: _few(T.documents(s, d).where(contains_ascii(F.col("filename"), "DE_1")), s, d)
+_q("docs_by_project", _TAGGED + " WHERE project_id = 4 ORDER BY filename, id", "lib tags dt")(lambda s, d: _few(T.documents(s, d).where("project_id = 4"), s, d).orderBy("filename", "id"))
+_q("docs_root", _TAGGED + " WHERE project_id IS NULL ORDER BY filename, id", "lib tags dt")(lambda s, d: _few(T.documents(s, d).where("project_id is null"), s, d).orderBy("filename", "id"))
+_q("docs_favorites", _TAGGED + " WHERE is_favorite = 1 ORDER BY last_accessed DESC, id", "lib tags dt")(lambda s, d: _few(T.documents(s, d).where("is_favorite = 1"), s, d).orderBy(F.desc("last_accessed"), "id"))
+_q("docs_search", _TAGGED + " WHERE translate(filename, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%de_1%' ORDER BY last_accessed DESC, id", "lib tags dt")(
+    lambda s, d: _few(T.documents(s, d).where(contains_ascii(F.col("filename"), "DE_1")), s, d).orderBy(F.desc("last_accessed"), "id")
 )
-_q("docs_by_tag", f"SELECT {_ALL}, t.name AS tag_names, t.color AS tag_colors FROM lib JOIN dt ON dt.document_id = lib.id JOIN (SELECT id AS tid, name, color FROM tags WHERE id = 3) t ON t.tid = dt.tag_id", "lib tags dt")(
-    lambda s, d: with_tags(T.documents(s, d), T.document_tags(s, d).where("tag_id = 3"), T.tags(s)).where("tag_names is not null")
+_q("docs_by_tag", f"SELECT {_ALL}, t.name AS tag_names, t.color AS tag_colors FROM lib JOIN dt ON dt.document_id = lib.id JOIN (SELECT id AS tid, name, color FROM tags WHERE id = 3) t ON t.tid = dt.tag_id ORDER BY last_accessed DESC, lib.id", "lib tags dt")(
+    lambda s, d: with_tags(T.documents(s, d), T.document_tags(s, d).where("tag_id = 3"), T.tags(s)).where("tag_names is not null").orderBy(F.desc("last_accessed"), "id")
 )
 _q("tags_of_doc", "SELECT t.id, name, color FROM tags t JOIN dt ON t.id = dt.tag_id WHERE document_id = 5 ORDER BY name", "tags dt")(
     lambda s, d: T.tags(s).join(T.document_tags(s, d).where("document_id = 5"), F.col("id") == F.col("tag_id"), "left_semi").orderBy("name")
@@ -239,7 +239,7 @@ _q("chunk_plan", "SELECT id, c AS chunk, c * 3800 AS y0, least(h, c * 3800 + 400
 
 
 _q("scan_places", "SELECT id, name, parent_id FROM places ORDER BY name, id", "places")(lambda s, d: T.places(s, d).orderBy("name", "id"))
-_q("place_children", "SELECT id, name, parent_id FROM places WHERE parent_id = 102 OR parent_id IS NULL", "places")(lambda s, d: T.places(s, d).where("parent_id = 102 or parent_id is null"))
+_q("place_children", "SELECT id, name, parent_id FROM places WHERE parent_id = 102 OR parent_id IS NULL ORDER BY name, id", "places")(lambda s, d: T.places(s, d).where("parent_id = 102 or parent_id is null").orderBy("name", "id"))
 _q("place_tree", "SELECT p.id, CASE WHEN p.id = 2 THEN 0 WHEN p.parent_id = 2 THEN 1 ELSE 2 END AS depth FROM places p LEFT JOIN places q ON p.parent_id = q.id WHERE 2 IN (p.id, p.parent_id, q.parent_id)", "places")(lambda s, d: subtree(T.places(s, d), 2))
 _q("place_patch", f"SELECT id, CASE WHEN id % 6 = 0 THEN 'renamed' ELSE name END AS name, CASE WHEN id % 12 = 3 THEN NULL WHEN id % 6 = 3 THEN 'told' ELSE 'of ' || name END AS description, CASE WHEN id % 3 = 0 THEN {NOW} ELSE id END AS updated_at FROM places", "places")(
     lambda s, d: patch_projects(_described(s, d), _described(s, d).where("id % 3 = 0").select("id", F.expr("id % 6 = 0").alias("has_name"), F.lit("renamed").alias("name"), F.expr("id % 6 = 3").alias("has_description"), F.expr("if(id % 12 = 3, null, 'told')").alias("description")), ["name", "description"], NOW)
