@@ -1,4 +1,7 @@
-"""The page cache as a stream: a keyed state holds the last write of every page; each micro-batch adds only the pages it changed."""
+"""The page cache as a stream: a keyed state holds the last write of every page; each micro-batch adds only the pages it changed.
+
+Many batches are compacted: the pages as of a batch become one table, and the batches up to it go.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,9 @@ from pyspark.sql import functions as F
 from ..sources import tables as T
 
 KEY = ["document_id", "page"]
+ROW = "document_id long, page string, payload double"
+#: Batches that may stand beside the last compaction.
+MOST_BATCHES = 16
 
 
 def cache_stream(spark: SparkSession, source: str, folder: str, schema, files_at_once: int = 2) -> DataFrame:
@@ -28,10 +34,52 @@ def cache_stream(spark: SparkSession, source: str, folder: str, schema, files_at
         batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
     last.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
-    if spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).isEmpty():
-        return spark.createDataFrame([], "document_id long, page string, payload double")
-    written = spark.read.schema("document_id long, page string, payload double, batch long").parquet(updates)
-    return written.groupBy(*KEY).agg(F.max_by("payload", "batch").alias("payload"))
+    return compacted(spark, folder)
+
+
+def _table(spark: SparkSession, path: str, number: str) -> DataFrame:
+    """Rows under path, a folder for each number; none where it is missing or holds no file."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at) or not any(s.isDirectory() for s in fs.listStatus(at)):
+        return spark.createDataFrame([], f"{ROW}, {number} long")
+    return spark.read.schema(f"{ROW}, {number} long").parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _numbers(spark: SparkSession, path: str, finished: bool = False) -> list[int]:
+    """Numbers of the folders under path; of those written to the end only, if finished."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath() for s in fs.listStatus(at) if s.isDirectory() and "=" in s.getPath().getName()]
+    done = [n for n in names if not finished or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
+    return sorted(int(n.getName().split("=")[1]) for n in done)
+
+
+def compacted(spark: SparkSession, folder: str, most: int = MOST_BATCHES) -> DataFrame:
+    """(document_id, page, payload) of the last compaction and the batches since, which become a new compaction if they are more than `most`.
+
+    Run again after it broke off it starts from what was whole: a compaction counts once its table is finished, and
+    what it replaces goes after that. Results of earlier runs are read anew then.
+    """
+    updates, whole = f"{folder}/updates", f"{folder}/whole"
+    upto = max(_numbers(spark, whole, finished=True), default=-1)
+    old = _table(spark, whole, "upto").where(F.col("upto") == upto).select(*KEY, "payload", F.col("upto").alias("batch"))
+    new = _table(spark, updates, "batch").where(F.col("batch") > upto)
+    last = old.unionByName(new).groupBy(*KEY).agg(F.max_by("payload", "batch").alias("payload"))
+    since = [n for n in _numbers(spark, updates) if n > upto]
+    if len(since) <= most:
+        return last
+    last.write.mode("overwrite").parquet(f"{whole}/upto={since[-1]}")
+    for path, name, numbers in ((updates, "batch", [n for n in _numbers(spark, updates) if n <= since[-1]]), (whole, "upto", [n for n in _numbers(spark, whole) if n < since[-1]])):
+        for n in numbers:
+            fs, at = _files(spark, f"{path}/{name}={n}")
+            fs.delete(at, True)
+    return compacted(spark, folder, most)
 
 
 def _query(spark, sf_dir):

@@ -108,3 +108,22 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
     assert state() == {(1, "a"): 2.0, (2, "b"): 3.0}
     put([(4, 9, 1, "a", 9.0), (5, 6, 2, "b", 4.0)])  # the first is older than what is known
     assert state() == {(1, "a"): 2.0, (2, "b"): 4.0}
+
+
+def test_stream_is_compacted(spark, tmp_path):
+    from pyspark.sql.types import _parse_datatype_string as parse
+
+    from pagemill.streaming import cache
+
+    schema = "event_id long, ts long, user_id long, event_type string, value double"
+    want, folder = {}, f"{tmp_path}/state"
+    assert cache.compacted(spark, folder).isEmpty()
+    for i in range(5):
+        rows = [(10 * i + j, 10 * i + j, j % 2, "ab"[i % 2], float(10 * i + j)) for j in range(2)]
+        want |= {(r[2], r[3]): r[4] for r in rows}
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = cache.cache_stream(spark, f"{tmp_path}/in", folder, parse(schema), 1)
+        assert {(r.document_id, r.page): r.payload for r in got.collect()} == want
+        small = cache.compacted(spark, folder, 1)
+        assert {(r.document_id, r.page): r.payload for r in small.collect()} == want
+        assert len(cache._numbers(spark, f"{folder}/updates")) <= 1 and len(cache._numbers(spark, f"{folder}/whole")) == (i > 0)
