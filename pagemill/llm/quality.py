@@ -137,8 +137,9 @@ _N = r"[^\x20\x09-\x0D]"
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '{_S}+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_N}')) AS l FROM d),
-p AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) > 2),
-q AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS c FROM p),
+p AS (SELECT rid, unnest(range(len(w))) AS i, unnest(w) AS x FROM w),
+z AS (SELECT rid, i, x, lead(x) OVER v AS y, lead(x, 2) OVER v AS z FROM p WINDOW v AS (PARTITION BY rid ORDER BY i)),
+q AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, x, y, z) AS c FROM z WHERE z IS NOT NULL),
 r AS (SELECT rid, count(DISTINCT j) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM q WHERE c > 1) GROUP BY 1),
 n AS (SELECT doc_id, text, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS wordy, l FROM w LEFT JOIN r USING (rid)),

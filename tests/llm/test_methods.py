@@ -141,3 +141,24 @@ def test_ring_budgets_come_before_the_whole_check():
     near = np.bitwise_count(x) <= simhash.BITS
     assert left == sorted(left, reverse=True) and len(set(left)) >= 4 and left[-1] == int(simhash._within_ring(x).sum()) >= int(near.sum())
     assert simhash._within_ring(x)[near].all()
+
+
+def test_splitters_by_a_sort(spark):
+    """Each splitter leaves its share of bytes below it, as near as a sort of all keys allows."""
+    from pagemill.llm import sharding
+
+    rng = random.Random(12)
+    rows = [(rng.randrange(1 << 62), rng.randrange(1, 2000)) for _ in range(5000)] + [(rng.randrange(1 << 40), 50) for _ in range(3000)] + [(7 << 50, 90_000)] * 3
+    total = sum(b for _, b in rows)
+    targets = [total * i / 8 for i in range(1, 8)]
+    bytes_at = {}
+    for k, b in rows:
+        bytes_at[k] = bytes_at.get(k, 0) + b
+    edges, below = [0], 0
+    for k in sorted(bytes_at):
+        below += bytes_at[k]
+        edges.append(below)
+    cuts = sharding.splitters(spark.createDataFrame(rows, "key long, size long"), targets, 100.0, 20)
+    assert cuts == sorted(cuts)
+    for cut, t in zip(cuts, targets, strict=True):
+        assert abs(sum(b for k, b in rows if k < cut) - t) <= max(100.0, min(abs(e - t) for e in edges))
