@@ -76,6 +76,6 @@ O = {
     "page_json": T.oracle("w", f"""SELECT doc_id, page_no, NOT {_BAD} AS known, CASE WHEN NOT {_BAD} THEN 150 + 50 * (doc_id % 2) END AS dpi, CASE WHEN NOT {_BAD} THEN ['eng', 'jpn', 'fra'][doc_id % 3 + 1] END AS language, CASE WHEN NOT {_BAD} AND doc_id % 5 > 0 THEN doc_id % 5 END AS psm,
   CASE WHEN NOT {_BAD} THEN count(*) END AS n_lines, CASE WHEN NOT {_BAD} THEN sum(n)::BIGINT END AS n_words, CASE WHEN NOT {_BAD} THEN string_agg(t, chr(10) ORDER BY y, line_no) END AS text, CASE WHEN NOT {_BAD} THEN round(sum(c) / sum(n), 6) END AS conf
   FROM (SELECT doc_id, page_no, line_no, min(y0) AS y, count(*) AS n, sum(conf) AS c, string_agg(text, ' ' ORDER BY k) AS t FROM w GROUP BY ALL) GROUP BY doc_id, page_no"""),
-    "page_json_words": T.oracle("w", f"SELECT doc_id, page_no, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY y, line_no) - 1 AS line, k, text, conf, x0, y0, x1, y1 FROM (SELECT *, min(y0) OVER (PARTITION BY doc_id, page_no, line_no) AS y FROM w WHERE NOT {_BAD})"),
+    "page_json_words": T.oracle("w", f"SELECT doc_id, page_no, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY y, line_no) - 1 AS line, k, text, conf::DOUBLE AS conf, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM (SELECT *, min(y0) OVER (PARTITION BY doc_id, page_no, line_no) AS y FROM w WHERE NOT {_BAD})"),
     "page_json_get": T.oracle("w", "SELECT string_agg(t, chr(10) ORDER BY y, line_no) AS text, sum(n)::BIGINT AS n_words FROM (SELECT line_no, min(y0) AS y, count(*) AS n, string_agg(text, ' ' ORDER BY k) AS t FROM w WHERE doc_id = 12 AND page_no = 0 GROUP BY ALL)"),
 }
