@@ -93,6 +93,17 @@ def patch_projects(projects: DataFrame, changes: DataFrame, columns: list[str],
     return patch(projects, named, [*columns, "updated_at"])
 
 
+def replay(docs: DataFrame, log: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """docs after a log(id, has_c, c, ..., order) of updates of single rows: of each column the value set last stands, null included.
+
+    The log is brought to one row a document by partial aggregation before it meets the documents; updates of unknown
+    ids change nothing.
+    """
+    last = log.groupBy("id").agg(*(F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(f"has_{c}"), F.struct(*order))).alias(f"set_{c}") for c in columns))
+    out = docs.join(last, "id", "left")
+    return out.select(*(F.when(F.col(f"set_{x}").isNotNull(), F.col(f"set_{x}.v")).otherwise(F.col(x)).alias(x) if x in columns else F.col(x) for x in docs.columns))
+
+
 def _described(s, d) -> DataFrame:
     return T.places(s, d).select("id", "name", F.concat(F.lit("of "), "name").alias("description"), F.col("id").alias("updated_at"))
 
@@ -210,6 +221,10 @@ _q("delete_document_cascade", "SELECT 'document' AS kind, count(*) AS n, sum(id)
     lambda s, d: (left := delete_documents(_gone(s, d), T.documents(s, d), T.document_tags(s, d), T.cache_log(s, d).select("document_id", "page").distinct()))[0].agg(F.lit("document").alias("kind"), F.count("*").alias("n"), F.sum("id").alias("ids"))
     .unionByName(left[1].agg(F.lit("link").alias("kind"), F.count("*").alias("n"), F.sum("document_id").alias("ids"))).unionByName(left[2].agg(F.lit("page").alias("kind"), F.count("*").alias("n"), F.sum("document_id").alias("ids")))
 )
+_q("delete_document_rows", "SELECT 'document' AS kind, id AS document_id, filepath AS key FROM lib WHERE id % 10 <> 0 UNION ALL SELECT 'link', document_id, tag_id::VARCHAR FROM dt WHERE document_id % 10 <> 0 UNION ALL SELECT DISTINCT 'page', document_id, page FROM log WHERE document_id % 10 <> 0 OR document_id NOT IN (SELECT id FROM lib)", "lib dt log")(
+    lambda s, d: (left := delete_documents(_gone(s, d), T.documents(s, d), T.document_tags(s, d), T.cache_log(s, d).select("document_id", "page").distinct()))[0].select(F.lit("document").alias("kind"), F.col("id").alias("document_id"), F.col("filepath").alias("key"))
+    .unionByName(left[1].select(F.lit("link").alias("kind"), "document_id", F.col("tag_id").cast("string").alias("key"))).unionByName(left[2].select(F.lit("page").alias("kind"), "document_id", F.col("page").alias("key")))
+)
 _q("delete_tag_cascade", "SELECT document_id, tag_id, name FROM dt JOIN tags ON id = tag_id WHERE tag_id <> 3", "dt tags")(
     lambda s, d: (left := delete_tag(3, T.tags(s), T.document_tags(s, d)))[1].join(left[0].withColumnRenamed("id", "tag_id"), "tag_id").select("document_id", "tag_id", "name")
 )
@@ -220,6 +235,23 @@ _q("toggle_favorite", "SELECT id, CASE WHEN id % 2 = 0 THEN 1 - is_favorite ELSE
 _q("touch_last_page", f"SELECT id, CASE WHEN id = 9 THEN 3 ELSE 1 END AS last_page, CASE WHEN id = 9 THEN {NOW + 5} ELSE last_accessed END AS last_accessed FROM lib", "lib")(
     lambda s, d: T.documents(s, d).select("id", F.when(F.col("id") == 9, 3).otherwise(1).alias("last_page"), F.when(F.col("id") == 9, F.lit(NOW + 5)).otherwise(F.col("last_accessed")).alias("last_accessed"))
 )
+
+
+def _updates(s, d) -> DataFrame:
+    """Every event as an update of one document: clicks set the favourite, views the project (to none by each seventh), purchases the last page, all the access."""
+    return T.table(s, d, "events").select(
+        F.col("user_id").alias("id"), "ts", "event_id", F.expr("event_type = 'click'").alias("has_is_favorite"), F.expr("cast(event_id % 2 as int)").alias("is_favorite"),
+        F.expr("event_type = 'view'").alias("has_project_id"), F.expr("CASE WHEN event_id % 7 > 0 THEN event_id % 5 END").alias("project_id"),
+        F.expr("event_type = 'purchase'").alias("has_last_page"), F.expr("event_id % 50").alias("last_page"), F.lit(True).alias("has_last_accessed"), F.expr(f"{NOW}L + event_id").alias("last_accessed"),
+    )
+
+
+_LAST = "(SELECT user_id, {v} AS v FROM events WHERE {w} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) {n}"
+_q("doc_updates", f"""SELECT id, CASE WHEN f.user_id IS NULL THEN is_favorite ELSE f.v END AS is_favorite, CASE WHEN p.user_id IS NULL THEN project_id ELSE p.v END AS project_id, coalesce(l.v, 1) AS last_page, coalesce(a.v, last_accessed) AS last_accessed FROM lib
+  LEFT JOIN {_LAST.format(v='event_id % 2', w="event_type = 'click'", n='f')} ON f.user_id = id LEFT JOIN {_LAST.format(v='CASE WHEN event_id % 7 > 0 THEN event_id % 5 END', w="event_type = 'view'", n='p')} ON p.user_id = id
+  LEFT JOIN {_LAST.format(v='event_id % 50', w="event_type = 'purchase'", n='l')} ON l.user_id = id LEFT JOIN {_LAST.format(v=f'{NOW} + event_id', w='true', n='a')} ON a.user_id = id""", "lib")(
+    lambda s, d: replay(T.documents(s, d).withColumn("last_page", F.lit(1).cast("long")), _updates(s, d), ["is_favorite", "project_id", "last_page", "last_accessed"], ["ts", "event_id"]).select("id", "is_favorite", "project_id", "last_page", "last_accessed")
+)
 _q("delete_project_cascade", "SELECT id, CASE WHEN project_id IN (SELECT p.id FROM projects p LEFT JOIN projects q ON p.parent_id = q.id WHERE p.id = 2 OR p.parent_id = 2 OR q.parent_id = 2) THEN NULL ELSE project_id END AS project_id FROM lib", "lib projects")(lambda s, d: delete_project(T.documents(s, d), T.projects(s), 2)[1].select("id", "project_id"))
 _q("export_name", "SELECT id, CASE WHEN id % 2 = 0 THEN regexp_replace(filename, '\\.pdf$', '_searchable.pdf') ELSE regexp_replace(filename, '\\.pdf$', '_page_' || total_pages || '_searchable.pdf') END AS name FROM lib WHERE filename LIKE '%.pdf'", "lib")(
     lambda s, d: T.documents(s, d).where("filename like '%.pdf'").select("id", F.concat(F.substring_index("filename", ".pdf", 1), F.when(F.expr("id % 2 = 0"), F.lit("")).otherwise(F.concat(F.lit("_page_"), F.col("total_pages").cast("string"))), F.lit("_searchable.pdf")).alias("name"))
@@ -274,4 +306,4 @@ def _prompts(s, d):
 
 _q("translate_requests", f"""SELECT conv_id, turn, 'Translate this text: "' || text || '" (Type: ' || CASE role WHEN 'user' THEN 'balloon' WHEN 'system' THEN 'sfx' ELSE 'text' END || ')' AS prompt, CASE WHEN conv_id % 3 = 1 THEN '{TRANSLATOR["document"]}' ELSE '{TRANSLATOR["manga"]}' END AS system_prompt, '1000,2000,4000,8000' AS waits_ms FROM conversations WHERE length(text) BETWEEN 1 AND 9999""")(_prompts)
 _q("translate_answers", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'No response' ELSE text END AS reply FROM conversations")(lambda s, d: answers(T.table(s, d, "conversations").select("conv_id", "turn", F.expr("CASE WHEN turn % 6 = 0 THEN '' WHEN turn % 3 = 0 THEN NULL ELSE text END").alias("reply"))))
-_q("file_source_meta", None)(lambda s, d: files(s, d, "*n.parquet").select("name", "size", "mime_type", F.md5("data").alias("base64_md5"), F.sha2(content(F.col("data")), 256).alias("sha256")))
+_q("file_source_meta", None)(lambda s, d: files(s, d, "*.parquet").select("name", "size", "mime_type", F.md5("data").alias("base64_md5"), F.sha2(content(F.col("data")), 256).alias("sha256")))

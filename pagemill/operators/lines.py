@@ -301,7 +301,13 @@ _q("vertical_gaps", lambda s, d: vertical_gaps(assemble(_spread(T.words(s, d))))
 _q("split_lines", lambda s, d: split_lines(T.words(s, d)).select(*LINE, "k", "seg"), "w", f"SELECT {_K}, k, coalesce(sum((gap > greatest(18.0, 2.6 * mh))::INT) OVER (PARTITION BY {_K} ORDER BY k), 0)::BIGINT AS seg FROM (SELECT *, x0 - lag(x1) OVER (PARTITION BY {_K} ORDER BY k) AS gap, h[len(h) // 2 + 1] AS mh FROM (SELECT *, list_sort(list(y1 - y0) OVER (PARTITION BY {_K})) AS h FROM w))")
 _COV = f"SELECT {_K}, least(1.0, sum(CASE WHEN a.y1 - a.y0 >= 0.2 * (by1 - by0) THEN x1 - x0 ELSE 0 END) / greatest(1, bx1 - bx0)) AS coverage FROM w a JOIN lb USING ({_K}) GROUP BY {_K}, bx0, bx1"
 _q("line_coverage", lambda s, d: coverage(T.words(s, d), T.line_boxes(T.words(s, d))), "w lb", _COV)
+#: The page turned by a quarter: lines run down, and some words reach into the next one.
+_wide = lambda w: w.withColumn("x1", F.expr("x1 + 11 * (k % 3)"))
+_turn = lambda df, p: df.withColumns({f"{p}x0": F.col(f"{p}y0"), f"{p}y0": F.col(f"{p}x0"), f"{p}x1": F.col(f"{p}y1"), f"{p}y1": F.col(f"{p}x1")})
+_q("line_coverage_vertical", lambda s, d: coverage(_turn(_wide(T.words(s, d)), ""), _turn(T.line_boxes(T.words(s, d)), "b")), "w lb", f"SELECT {_K}, least(1.0, len(list_distinct(coalesce(flatten(list(range(x0, least(bx1, x1 + 11 * (k % 3)))) FILTER (y1 - y0 >= 0.2 * (by1 - by0))), []))) / greatest(1, bx1 - bx0)) AS coverage FROM w JOIN lb USING ({_K}) GROUP BY {_K}, bx0, bx1")
 _q("rescan_candidates", lambda s, d: rescan(T.words(s, d), T.line_boxes(T.words(s, d))).select(*LINE, "r"), "w lb", f"SELECT {_K}, r FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY coverage, line_no) AS r FROM ({_COV}) WHERE coverage < 0.55) WHERE r <= 2")
+_q("rescan_candidates_cjk", lambda s, d: rescan(T.words(s, d), T.line_boxes(T.words(s, d)), cjk=True).select(*LINE, "r"), "w lb", f"SELECT {_K}, r FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY coverage, line_no) AS r FROM ({_COV}) WHERE coverage < 0.62) WHERE r <= 4")
+_q("edge_gaps_cjk", lambda s, d: edge_gaps(T.words(s, d), T.line_boxes(T.words(s, d)), cjk=True).select(*LINE, "side", "limit"), "w lb", f"SELECT * FROM (WITH {_G}, gc AS (SELECT *, greatest(12.0, med_gap * 1.1, med_h * 0.6)::DOUBLE AS cjk FROM gl JOIN lb USING ({_K})) SELECT {_K}, 'lead' AS side, cjk AS \"limit\" FROM gc WHERE f - bx0 > cjk UNION ALL SELECT {_K}, 'trail', cjk FROM gc WHERE bx1 - z > cjk)")
 _q("gap_budget", lambda s, d: budget((g := (w := T.words(s, d)) and gaps(w).select(*LINE, "gx0", "gx1")).unionByName(edge_gaps(w, T.line_boxes(w)).select(*LINE, "gx0", "gx1"))).select(*LINE, "gx0", "gx1"), "w lb", f"""SELECT {_K}, gx0, gx1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no, gx0, gx1) AS j FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY gx0, gx1) AS i FROM (
   WITH {_G} SELECT {_K}, l AS gx0, x0 AS gx1 FROM g1 JOIN gl USING ({_K}) WHERE gap > 0 AND gap > lim UNION ALL SELECT {_K}, bx0, f FROM gl JOIN lb USING ({_K}) WHERE f - bx0 > lim UNION ALL SELECT {_K}, z, bx1 FROM gl JOIN lb USING ({_K}) WHERE bx1 - z > lim)) WHERE i <= 3) WHERE j <= 20""")
 _slant = lambda w: w.withColumns({"y0": F.expr("CASE page_no % 3 WHEN 1 THEN y0 + x0 div 4 ELSE y0 END"), "y1": F.expr("CASE page_no % 3 WHEN 1 THEN y1 + x0 div 4 ELSE y1 END")})
