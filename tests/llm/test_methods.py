@@ -1,6 +1,7 @@
 """That operators run by their method, keep columns of any name, and stand texts and groups of any shape."""
 
 import random
+import re
 import time
 
 import numpy as np
@@ -31,6 +32,23 @@ def test_exact_join_stands_behind_the_filter(spark, monkeypatch):
     assert plans["passed"].count("regexp") == 0  # URLs were taken apart before
 
 
+def test_urls_by_the_rules_of_the_contract(spark, tmp_path):
+    """Words and places of the contract, written out, and the longest rule that fits looked for row by row."""
+    rules = {("com", "/en/"): "block", ("example.com", "/en/7"): "allow", ("net", "/de/"): "allow", ("example.net", "/de/8"): "block", ("org", "/es/"): "block"}
+    hosts = [h + e for h in ("", "a.", "example.", "www.example.", "notexample.", "spam-farm.", "www.spam-farm.") for e in ("com", "net", "org", "Net", "netx")]
+    urls_ = [f"https://{h}{p}" for h in hosts for p in ("/de/8", "/de/81?q", "/de/7", "/de/", "/de", "/DE/8", "/en/7", "/en/8#x", "/es/", "/x/de/8", "")]
+    spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in urls.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(urls_)
+    for i, u in enumerate(urls_):
+        host, slash, rest = u.split("://")[1].partition("/")
+        host, path = host.lower(), (slash + rest).split("?")[0].split("#")[0]
+        fit = [(len(h + p), h + p, v) for (h, p), v in rules.items() if f".{host}".endswith(f".{h}") and path.startswith(p)]
+        listed = re.fullmatch(r"(www\.)?spam-farm\.[a-z]+/(de|en|es|fr)/[0-9]+", host + path)
+        want = max(fit)[1:] if fit else (None, "block" if listed else "allow")
+        assert (got[i].rule, got[i].verdict) == want, u
+
+
 def spared_by_pairs(text, lexicon):
     folded, found = toxicity.fold(text), []
     for p, w in [*lexicon.weights.items(), *((f" {x} ", None) for x in lexicon.exceptions)]:
