@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import common, decontaminate, simhash, toxicity, urls
+from pagemill.llm import common, decontaminate, nearest, simhash, toxicity, urls
 
 
 def test_exact_join_stands_behind_the_filter(spark, monkeypatch):
@@ -49,6 +49,24 @@ def test_urls_by_the_rules_of_the_contract(spark, tmp_path):
         assert (got[i].rule, got[i].verdict) == want, u
 
 
+def test_nearest_equals_brute_force(spark):
+    """Lengths that differ much, rows closer than a cell or a code, and ties: rows, order and scores."""
+    rng = np.random.default_rng(4)
+    n, d = 4000, 32
+    free = rng.normal(size=(n, d))
+    tables = {"lengths": free * np.exp(rng.normal(size=(n, 1))), "clusters": rng.normal(size=(6, d))[rng.integers(6, size=n)] + 1e-3 * free, "ties": rng.integers(-1, 2, size=(n, d)).astype(float)}
+    for name, v in tables.items():
+        table = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+        got = nearest.nearest(table).toPandas().sort_values(["query_id", "rank"])
+        s = np.zeros((n // 20, n))
+        for c in range(d):
+            s += v[::20, c][:, None] * v[None, :, c]
+        s[np.arange(n // 20), np.arange(0, n, 20)] = -np.inf
+        for q, row in enumerate(s):
+            want, mine = np.lexsort((np.arange(n), -row))[:20], got[got.query_id == q * 20]
+            assert list(mine.vec_id) == list(want) and list(mine.score) == list(row[want]), (name, q * 20)
+
+
 def spared_by_pairs(text, lexicon):
     folded, found = toxicity.fold(text), []
     for p, w in [*lexicon.weights.items(), *((f" {x} ", None) for x in lexicon.exceptions)]:
