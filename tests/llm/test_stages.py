@@ -149,3 +149,10 @@ def test_many_introductions_take_linear_time(spark):
     d = spark.createDataFrame([(k, 0, "a", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: (r.body, r.n_quotes) for r in quotes.parsed(d).collect()}
     assert got == {0: ("end", 1), 1: ("a\r\n\nb\r", 2), 2: ("On Monday A wrote:\n\nlast", 2)}
+
+
+def test_quotes_of_a_message_without_a_turn(spark):
+    rows = [(1, None, "a", "hello there"), (1, 0, "b", "> hello there\nyes"), (1, 1, "c", "> > hello there\n> yes\nno"), (2, 0, "a", "x y"), (2, 1, "b", ">" * 20000 + " x y\nz"), (2, 2, "c", " > \t> x y\n >\n\t z > w")]
+    got = {(r.conv_id, r.turn): r for r in quotes.thread(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[1, t].n_linked, got[1, t].parent_turn, got[1, t].thread_turn, got[1, t].position) for t in (None, 0, 1)] == [(0, None, None, 0), (1, None, None, 1), (2, 0, None, 2)]
+    assert [(got[2, t].quote_depth, got[2, t].n_linked, got[2, t].parent_turn, got[2, t].body) for t in (1, 2)] == [(20000, 1, 0, "z"), (2, 1, 0, " z > w")]
