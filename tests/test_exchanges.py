@@ -2,17 +2,19 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill import registry
 from pagemill.operators import lines
 from pagemill.operators.spatial import by_page
 from pagemill.sources import tables as T
+from pagemill.sources.results import decoded
 
 SMALL = "/root/testdata/sf0.001"
 
 
 def exchanged(df) -> list[str]:
-    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x and "Reused" not in x]
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
 
 
 @pytest.mark.parametrize("name", ["tsv_words", "tsv_line_boxes", "tsv_odd_rows", "tsv_words_by_header", "ocr_page_pipeline", "rebuild_lines", "chunk_dedup", "line_assembly", "lines_by_y", "iou_dedup_greedy", "regions"])
@@ -58,3 +60,16 @@ def test_numbers_and_texts_of_rows(spark):
     number = [0, 12, -3, 4, 7, 0, 1.5, 0.5, 5, 0, 1.2, 12, 0, float("9" * 6)]
     assert [got[i].word_no for i in range(len(odd))] == whole and [got[i].conf for i in range(len(odd))] == number
     assert [got[i].text for i in range(len(odd))] == [f"{t.lstrip()}\x1c" for t in odd]
+
+
+@pytest.mark.parametrize("name", ["page_json", "page_json_words", "cached_pages", "cached_pages_store"])
+def test_page_results_are_not_exchanged(spark, name):
+    found = exchanged(registry.QUERIES[name](spark, SMALL))
+    assert found and all("REPARTITION_BY_NUM" in x for x in found), found
+
+
+def test_a_payload_is_parsed_once(spark):
+    df = spark.createDataFrame([('{"dpi": 150}',), ("{",), (None,)], "payload string").select(decoded(F.col("payload")).alias("r"))
+    df = df.select("r.dpi", "r.language", F.size("r.words").alias("n"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [r.dpi for r in df.collect()] == [150, None, None]
